@@ -1 +1,8 @@
 """keystrata: typed, versioned key-value analytics expressed as Spark plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
