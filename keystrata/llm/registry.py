@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_filter",)
+MODULES = ("packing", "url_filter")
 
 
 def _all(what: str) -> dict:
