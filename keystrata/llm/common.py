@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_cache() -> dict:
+    """A dictionary that lives as long as this Python worker, over all tasks that reuse it."""
+    return vars(sys.modules.setdefault("_keystrata_worker", types.ModuleType("_keystrata_worker")))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable from each id that has an edge.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import written
+from keystrata.llm.common import worker_cache, written
 from keystrata.session import table
 
 END_ID = 2
@@ -40,10 +40,12 @@ class WordEncoder:
 
     The byte-level split starts a token at every space before a visible character, so the words
     between such spaces encode independently. New words are encoded together in one text and cut
-    apart at the tokens that begin with a space. Other texts are encoded as they are.
+    apart at the tokens that begin with a space; a comma or full stop after a Latin letter is a token
+    of its own, so those words share their stem's ids. Other texts are encoded as they are. The memo
+    has two generations of at most `most` / 2 words and one batch each; words in use move on.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,14 +55,13 @@ class WordEncoder:
         self.led = np.zeros(max(vocab.values()) + 2, bool)
         for token, i in vocab.items():
             self.led[i] = token.startswith("Ġ")
-        self.most, self.memo = most, {}
+        self.most, self.memo, self.old = most, {}, {}
+        self.stops = dict(zip(",.", self.whole([",", "."])))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > self.most:
-            self.memo = {}
+    def _learn(self, words: list[str]) -> None:
         for lo in range(0, len(words), 2000):
             some = words[lo : lo + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -71,15 +72,26 @@ class WordEncoder:
             cuts = [*(starts * 4).tolist(), len(data)]
             self.memo.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
 
+    def _need(self, words: set[str]) -> None:
+        memo, old = self.memo, self.old
+        new = words.difference(memo)
+        if old:
+            again = new & old.keys()
+            memo.update((w, old[w]) for w in again)
+            new -= again
+        stopped = [w for w in new if w[-1] in ",." and "A" <= w[-2:-1] < "\u0250" and w[-2].isalpha()]
+        new.difference_update(stopped)
+        stems = {w[:-1] for w in stopped}
+        self._learn([*new, *(stems - memo.keys() - new)])
+        memo.update((w, memo[w[:-1]] + self.stops[w[-1]]) for w in stopped)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [bool(ODD.search(t)) for t in texts]
         plain = [t.split(" ") for t, x in zip(texts, odd) if not x]
         firsts = self.whole([p[0] for p in plain])
-        new = {w for p in plain for w in p[1:]}
-        have = self.memo
-        self.learn(sorted(new.difference(have)))
-        if self.memo is not have:  # the memo was emptied: what this batch needs must be there
-            self.learn([w for w in new if w not in self.memo])
+        if len(self.memo) > self.most // 2:
+            self.memo, self.old = {}, self.memo
+        self._need({w for p in plain for w in p[1:]})
         get, strange = self.memo.__getitem__, iter(self.whole([t for t, x in zip(texts, odd) if x]))
         rest = iter([f + b"".join(map(get, p[1:])) for f, p in zip(firsts, plain)])
         return [next(strange) if x else next(rest) for x in odd]
@@ -103,7 +115,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, with_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        encoder = WordEncoder(tokenizer_path)
+        cache = worker_cache()
+        encoder = cache.get(tokenizer_path) or cache.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             for lo, hi in _batches(batch.num_rows, batch.column(1)):
