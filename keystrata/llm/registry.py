@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "packing", "url_filter")
+MODULES = ("quality", "simhash", "packing", "url_filter")
 
 
 def _all(what: str) -> dict:
