@@ -169,6 +169,9 @@ def _grow(x: np.ndarray, bad: np.ndarray, names: tuple[str, ...], most: int, cut
                         best, gain = (name, sign, float(cut)), won
         if best is None:
             break
+        # Halfway to the next value, so that a boundary isn't drawn along one side's values.
+        values = x[inside, names.index(best[0])]
+        best = (*best[:2], float(values[values <= best[2]].max() + values[values > best[2]].min()) / 2)
         rule = Rule((*rule.conditions, best))
         inside &= Rule((best,)).holds(x, names)
     return rule
