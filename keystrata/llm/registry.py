@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup", "quality", "simhash", "packing", "url_filter")
+MODULES = ("line_dedup", "quality", "simhash", "secrets", "packing", "url_filter")
 
 
 def _all(what: str) -> dict:
