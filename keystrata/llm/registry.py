@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup", "chat", "quality", "simhash", "secrets", "packing", "url_filter")
+MODULES = ("line_dedup", "chat", "quality", "simhash", "toxicity", "secrets", "packing", "url_filter")
 
 
 def _all(what: str) -> dict:
