@@ -5,10 +5,12 @@ merges, each time, the leftmost adjacent pair of lowest rank; it keeps the ranks
 pairs and looks up only the two that a merge changes. The rank map is a literal: an array of small
 maps, chosen by hash, since Spark searches a map's keys one after another.
 
-Words repeat, so the fold runs once for each of the distinct words that are counted most often; at
-most `most_words` of them (a bound for the broadcast, whatever the corpus' size) reach the workers
-that look them up. Every other word is folded where it stands, by the same expression. Nothing but
-word counts, combined before the shuffle, is exchanged; texts stay where they are read.
+Texts are cut into words at spaces before visible characters, where no token crosses; a comma or full
+stop after a Latin letter is cut off too. Distinct words are counted over all texts, combined before
+the shuffle, and the fold runs once for each of the most frequent ones: as many counts as there is
+room for in a table of `most_words` (a bound for what is broadcast, whatever the corpus' size). The
+words of a text that aren't in the table go back to Spark, which folds them where they stand by the
+same expression. So nothing but word counts is exchanged, and texts stay where they are read.
 
 Null text counts as empty and gives no ids; texts and words of any length are encoded whole.
 Repeated rows and null ids are kept; other columns are ignored; an empty table gives an empty result.
@@ -17,9 +19,14 @@ Repeated rows and null ids are kept; other columns are ignored; an empty table g
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +68,7 @@ def _rank(maps: Column, text: Column) -> Column:
 
 
 def _let(value: Column, body) -> Column:
+    """body of a value that is computed once (and, if it is a literal, stands in the plan once)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -110,3 +118,177 @@ def fold(word: Column, maps: Column) -> Column:
         )
 
     return _let(F.decode(word.cast("binary"), LATIN), whole)
+
+
+RAW = "\0"  # marks the key of a piece that isn't a space and a word
+ODD = re.compile(r" (?:\s|\Z)|\0")
+SPLIT = re.compile(r"(?= [^\s])")
+
+
+def _keys(text: str) -> list[str]:
+    """The pieces of a text, whose ids follow one another; a key is a word, or RAW and a piece."""
+    if ODD.search(text):
+        pieces = SPLIT.split(text)
+        return [p[1:] if p[:1] == " " and p[1:2] != RAW and len(p) > 1 else RAW + p for p in pieces if p]
+    first, *words = text.split(" ")
+    return [RAW + first, *words] if first else words
+
+
+def _stem(key: str) -> bool:
+    """Whether the key's last character is a stop that is a token of its own."""
+    return key[-1] in ",." and "A" <= key[-2:-1] < "\u0250" and key[-2].isalpha()
+
+
+def _key_ids(key: Column, maps: Column, pattern: str) -> Column:
+    piece = F.when(key.startswith(RAW), F.substring(key, 2, 1 << 30)).otherwise(F.concat(F.lit(" "), key))
+    return F.flatten(F.transform(F.regexp_extract_all(piece, F.lit(java_pattern(pattern)), F.lit(0)), lambda w: fold(w, maps)))
+
+
+class Table:
+    """Ids of the most frequent keys, found by two hashes of the key; plain arrays, so it is cheap to send."""
+
+    def __init__(self, rows: pa.Table):
+        h = rows.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        lists = rows.column("ids").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks or [pa.array([], pa.list_(pa.int32()))])
+        sizes = np.diff(lists.offsets.to_numpy())
+        starts = lists.offsets.to_numpy()[:-1][order].astype(np.int64)
+        self.hashes, self.checks, self.starts, self.sizes = h[order], rows.column("c").to_numpy()[order].astype(np.uint32), starts, sizes[order].astype(np.int32)
+        self.ids = lists.values.to_numpy().astype(np.uint16 if len(lists.values) == 0 or lists.values.to_numpy().max() < 1 << 16 else np.uint32)
+
+    def find(self, keys: list[str]) -> list[np.ndarray | None]:
+        """Ids of each key, None for those that aren't in the table."""
+        import xxhash
+
+        if not len(self.hashes):
+            return [None] * len(keys)
+        data = [k.encode("utf-8", "surrogatepass") for k in keys]
+        h = np.array([xxhash.xxh64_intdigest(d, 42) for d in data], np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = (self.hashes[at] == h) & (self.checks[at] == np.array([zlib.crc32(d) for d in data], np.uint32))
+        ends = self.starts[at] + self.sizes[at]
+        return [self.ids[a:b] if x else None for a, b, x in zip(self.starts[at].tolist(), ends.tolist(), hit.tolist())]
+
+
+def _parts(texts: pa.Array, most_bytes: int = 16_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of stretches of rows with some megabytes of text."""
+    at, part, size = 0, [], 0
+    for i, t in enumerate(texts.to_pylist()):
+        part.append(t or "")
+        size += len(part[-1])
+        if size >= most_bytes:
+            yield at, part
+            at, part, size = i + 1, [], 0
+    if part:
+        yield at, part
+
+
+def _stems(words: set[str]) -> tuple[list[str], list[str]]:
+    """(keys to look up, keys that are one of those and a stop)."""
+    stopped = [w for w in words if _stem(w)]
+    return list(words.difference(stopped).union(w[:-1] for w in stopped)), stopped
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(key, n) over all texts: counted in each stretch of rows, then summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _parts(batch.column(0)):
+                counts: Counter = Counter()
+                for t in texts:
+                    counts.update(_keys(t))
+                for w in [w for w in counts if _stem(w)]:
+                    counts[w[:-1]] += counts.pop(w)
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def frequent(counts: DataFrame, most_words: int) -> DataFrame:
+    """Keys from the smallest count on that leaves at most most_words of them."""
+    cap = 10_000
+    tally = {r["n"]: r["words"] for r in counts.groupBy(F.least("n", F.lit(cap)).alias("n")).agg(F.count("*").alias("words")).collect()}  # `cap` rows at most
+    room, least = most_words, cap + 1
+    for n in sorted(tally, reverse=True):
+        room -= tally[n]
+        if room < 0:
+            break
+        least = n
+    return counts.where(F.col("n") >= least) if least <= cap else counts.limit(0)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, most_words: int = 2_500_000) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every whole text; ids as little-endian 32-bit bytes."""
+    spark = docs.sparkSession
+    maps = rank_map(ranks)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    counts = written(word_counts(rows))
+    known = frequent(counts, most_words).select(F.xxhash64("key").alias("h"), F.crc32(F.col("key").cast("binary")).alias("c"), _let(maps, lambda m: _key_ids(F.col("key"), m, pattern)).alias("ids"))
+    words = spark.sparkContext.broadcast(Table(known.toArrow()))  # most_words rows at most
+    of = {r: t for t, r in ranks.items()}
+    pieces = spark.sparkContext.broadcast([of.get(i, b"") for i in range(max(of) + 1)])
+    stops = {c: ranks[c.encode()] for c in ",."}
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in _parts(batch.column(1)):
+                keys = [set(_keys(t)) for t in texts]
+                asked, _ = _stems(set().union(*keys))
+                rare = {k for k, ids in zip(asked, words.value.find(asked)) if ids is None}
+                rest = [sorted(rare.intersection(k).union(w[:-1] for w in k if _stem(w) and w[:-1] in rare)) if rare else [] for k in keys]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(2)), pa.array(rest, pa.list_(pa.string()))], names=["doc_id", "text", "rare"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytes_of = pieces.value
+        for batch in batches:
+            rare_keys, rare_ids = batch.column(2).flatten().to_pylist(), batch.column(3).flatten().to_pylist()
+            found = dict(zip(rare_keys, rare_ids))
+            for at, texts in _parts(batch.column(1)):
+                keys = [_keys(t) for t in texts]
+                asked, stopped = _stems(set().union(*keys))
+                text, raw, data, many = {}, {}, {}, {}
+                for k, ids in zip(asked, words.value.find(asked)):
+                    one = ids.tolist() if ids is not None else found[k] if k in found else []
+                    text[k], raw[k], many[k] = " ".join(map(str, one)), b"".join([bytes_of[i] for i in one]), len(one)
+                    data[k] = np.array(one, "<u4").tobytes()
+                for w in stopped:
+                    i, k = stops[w[-1]], w[:-1]
+                    text[w], raw[w], data[w], many[w] = f"{text[k]} {i}", raw[k] + bytes_of[i], data[k] + i.to_bytes(4, "little"), many[k] + 1
+                shas, backs, counts, ids = [], [], [], []
+                for k in keys:
+                    shas.append(hashlib.sha256(" ".join(map(text.__getitem__, k)).encode()).hexdigest())
+                    backs.append(hashlib.sha256(b"".join(map(raw.__getitem__, k))).hexdigest())
+                    counts.append(sum(map(many.__getitem__, k)))
+                    ids.append(b"".join(map(data.__getitem__, k)))
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(shas), pa.array(backs), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+
+    open_ = rows.mapInArrow(unknown, "doc_id long, text string, rare array<string>")
+    folded = open_.withColumn("rare_ids", _let(maps, lambda m: F.transform("rare", lambda k: _key_ids(k, m, pattern))))
+    return folded.mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+
+
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of an array of ids: a literal array of pieces, concatenated."""
+    hexed = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        hexed[rank] = token.hex()
+    pieces = F.from_json(F.lit(json.dumps(hexed)), "array<string>")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = encode(table(spark, sf_dir, "documents"), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def queries() -> dict:
+    return {"op2_byte_bpe": op2_byte_bpe}
+
+
+def oracle_sql() -> dict:
+    return {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("line_dedup", "nn_descent", "chat", "quality", "simhash", "toxicity", "secrets", "packing", "url_filter")
+MODULES = ("line_dedup", "bpe", "nn_descent", "chat", "quality", "simhash", "toxicity", "secrets", "packing", "url_filter")
 
 
 def _all(what: str) -> dict:
