@@ -10,7 +10,9 @@ stop after a Latin letter is cut off too. Distinct words are counted over all te
 the shuffle, and the fold runs once for each of the most frequent ones: as many counts as there is
 room for in a table of `most_words` (a bound for what is broadcast, whatever the corpus' size). The
 words of a text that aren't in the table go back to Spark, which folds them where they stand by the
-same expression. So nothing but word counts is exchanged, and texts stay where they are read.
+same expression. So nothing but word counts is exchanged, and texts stay where they are read. Pieces of
+over `LONG` characters, where a fold would take time in the square of the length, are merged by the
+same rule with a heap.
 
 Null text counts as empty and gives no ids; texts and words of any length are encoded whole.
 Repeated rows and null ids are kept; other columns are ignored; an empty table gives an empty result.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import re
 import zlib
@@ -120,6 +123,7 @@ def fold(word: Column, maps: Column) -> Column:
     return _let(F.decode(word.cast("binary"), LATIN), whole)
 
 
+LONG = 200
 RAW = "\0"  # marks the key of a piece that isn't a space and a word
 ODD = re.compile(r" (?:\s|\Z)|\0")
 SPLIT = re.compile(r"(?= [^\s])")
@@ -144,6 +148,30 @@ def _key_ids(key: Column, maps: Column, pattern: str) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(piece, F.lit(java_pattern(pattern)), F.lit(0)), lambda w: fold(w, maps)))
 
 
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word by ranked merges, leftmost of the lowest rank first, with a heap of pairs."""
+    if word in ranks:
+        return [ranks[word]]
+    ends, before = list(range(1, len(word) + 1)), list(range(-1, len(word)))  # of the part that begins at i
+    heap = [(ranks[word[i : i + 2]], i, i + 1, i + 2) for i in range(len(word) - 1) if word[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, middle, end = heapq.heappop(heap)
+        if ends[i] != middle or ends[middle] != end:
+            continue  # one of its parts has been merged since
+        ends[i], ends[middle] = end, 0
+        if end < len(word):
+            before[end] = i
+        for a, c in ((before[i], end), (i, ends[end] if end < len(word) else 0)):
+            if a >= 0 and c and (rank := ranks.get(word[a:c])) is not None:
+                heapq.heappush(heap, (rank, a, ends[a], c))
+    out, at = [], 0
+    while at < len(word):
+        out.append(ranks[word[at : ends[at]]])
+        at = ends[at]
+    return out
+
+
 class Table:
     """Ids of the most frequent keys, found by two hashes of the key; plain arrays, so it is cheap to send."""
 
@@ -198,7 +226,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for _, texts in _parts(batch.column(0)):
                 counts: Counter = Counter()
                 for t in texts:
-                    counts.update(_keys(t))
+                    counts.update(k for k in _keys(t) if len(k) <= LONG)
                 for w in [w for w in counts if _stem(w)]:
                     counts[w[:-1]] += counts.pop(w)
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
@@ -234,23 +262,35 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, most_words
     def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _parts(batch.column(1)):
-                keys = [set(_keys(t)) for t in texts]
+                keys = [{k for k in _keys(t) if len(k) <= LONG} for t in texts]
                 asked, _ = _stems(set().union(*keys))
                 rare = {k for k, ids in zip(asked, words.value.find(asked)) if ids is None}
                 rest = [sorted(rare.intersection(k).union(w[:-1] for w in k if _stem(w) and w[:-1] in rare)) if rare else [] for k in keys]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(2)), pa.array(rest, pa.list_(pa.string()))], names=["doc_id", "text", "rare"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
         bytes_of = pieces.value
+        rank_of = {t: i for i, t in enumerate(bytes_of) if t}
+        cut = regex.compile(pattern)
+
+        def merged(key: str) -> list[int]:
+            piece = key[1:] if key[0] == RAW else " " + key
+            return [i for w in cut.findall(piece) for i in merge(w.encode("utf-8", "surrogatepass"), rank_of)]
+
         for batch in batches:
             rare_keys, rare_ids = batch.column(2).flatten().to_pylist(), batch.column(3).flatten().to_pylist()
             found = dict(zip(rare_keys, rare_ids))
             for at, texts in _parts(batch.column(1)):
                 keys = [_keys(t) for t in texts]
-                asked, stopped = _stems(set().union(*keys))
+                every = set().union(*keys)
+                long = [k for k in every if len(k) > LONG]
+                asked, stopped = _stems(every.difference(long))
                 text, raw, data, many = {}, {}, {}, {}
-                for k, ids in zip(asked, words.value.find(asked)):
-                    one = ids.tolist() if ids is not None else found[k] if k in found else []
+                known = [*words.value.find(asked), *(np.array(merged(k), np.int64) for k in long)]
+                for k, ids in zip(asked + long, known):
+                    one = ids.tolist() if ids is not None else found[k]
                     text[k], raw[k], many[k] = " ".join(map(str, one)), b"".join([bytes_of[i] for i in one]), len(one)
                     data[k] = np.array(one, "<u4").tobytes()
                 for w in stopped:

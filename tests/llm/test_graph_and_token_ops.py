@@ -16,7 +16,7 @@ from keystrata.session import table
 P = pytest.importorskip("public_tokenizers")
 DIR = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
-ODD = ["", None, " ", "a  b", " lead", "trail ", "x \n y", "\0 \0a b", "  ", "a,b. c. d,", "don't we'll I'M 'S", "1234 56", "日本語 テキスト。", "a\u2003b \u3000c", "é.", "naïve, über. ", "\ttab\t tab", "z" * 200, "🙂 🙃🙂", "a\x1cb \x1c c", "\x85 x\x85", "<|endoftext|>"]
+ODD = ["", None, " ", "a  b", " lead", "trail ", "x \n y", "\0 \0a b", "  ", "a,b. c. d,", "don't we'll I'M 'S", "1234 56", "日本語 テキスト。", "a\u2003b \u3000c", "é.", "naïve, über. ", "\ttab\t tab", "z" * 200, "z" * 5000, "日本" * 300, "🙂 🙃🙂", "a\x1cb \x1c c", "\x85 x\x85", "<|endoftext|>"]
 
 
 def odd(spark):
