@@ -54,7 +54,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_ld_id, _ld_text, gone) for each document that loses lines; gone counts lines that aren't blank, from 0."""
+    """(_ld_id, _ld_text, _ld_gone) for each document that loses lines; _ld_gone counts lines that aren't blank, from 0."""
     windows = _windows(docs, id_col, text_col)
     first = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("_ld_id", "_ld_text", "k")).alias("first"))
     own_key = lambda df: df.withColumn("j", F.xxhash64("h", "g"))
@@ -63,7 +63,7 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     start = F.when(same, F.greatest(F.col("k"), F.col("first.k") + WINDOW)).otherwise(F.col("k"))
     later = again.where(~(same & (F.col("k") == F.col("first.k")))).select("_ld_id", "_ld_text", start.alias("start"), "k")
     gone = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("k") + WINDOW - 1))))
-    return later.groupBy("_ld_id", "_ld_text").agg(gone.alias("gone"))
+    return later.groupBy("_ld_id", "_ld_text").agg(gone.alias("_ld_gone"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -75,13 +75,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     all_lines = F.split(text, "\n")
     filled = _filled(text)
-    removed = F.get(F.transform(F.array(filled), lambda f: F.transform("gone", lambda k: F.get(f, k)["place"])), F.lit(0))
+    removed = F.get(F.transform(F.array(filled), lambda f: F.transform("_ld_gone", lambda k: F.get(f, k)["place"])), F.lit(0))
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), removed)
     left = F.get(F.transform(F.array(all_lines), lambda a: F.array_join(F.transform(stay, lambda i: F.coalesce(F.get(a, i), F.lit(""))), "\n")), F.lit(0))
-    changed = F.when(F.col("gone").isNull(), text).otherwise(left)
+    changed = F.when(F.col("_ld_gone").isNull(), text).otherwise(left)
     columns = [changed.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if count_col:
-        columns.append(F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(count_col))
+        columns.append(F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias(count_col))
     return joined.select(*columns)
 
 

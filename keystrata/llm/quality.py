@@ -199,8 +199,9 @@ def verdict(stats: Column, rules: list[Rule]) -> Column:
 
 
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The documents that the list keeps, with their own columns."""
-    return statistics(docs).where(verdict(F.col("stats"), rules)).drop("stats")
+    """The documents that the list keeps, with their own columns, whatever their names."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    return statistics(whole, "row.text").where(verdict(F.col("stats"), rules)).select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
