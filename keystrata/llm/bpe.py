@@ -25,6 +25,7 @@ import hashlib
 import heapq
 import json
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import written
+from keystrata.llm.common import worker_cache, written
 from keystrata.session import table
 
 BUCKETS = 1 << 16
@@ -199,7 +200,7 @@ class Table:
         return [self.ids[a:b] if x else None for a, b, x in zip(self.starts[at].tolist(), ends.tolist(), hit.tolist())]
 
 
-def _parts(texts: pa.Array, most_bytes: int = 16_000_000) -> Iterator[tuple[int, list[str]]]:
+def _parts(texts: pa.Array, most_bytes: int = 6_000_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of stretches of rows with some megabytes of text."""
     at, part, size = 0, [], 0
     for i, t in enumerate(texts.to_pylist()):
@@ -226,7 +227,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for _, texts in _parts(batch.column(0)):
                 counts: Counter = Counter()
                 for t in texts:
-                    counts.update(k for k in _keys(t) if len(k) <= LONG)
+                    counts.update(_keys(t))
+                for w in [w for w in counts if len(w) > LONG]:
+                    del counts[w]
                 for w in [w for w in counts if _stem(w)]:
                     counts[w[:-1]] += counts.pop(w)
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
@@ -247,31 +250,59 @@ def frequent(counts: DataFrame, most_words: int) -> DataFrame:
     return counts.where(F.col("n") >= least) if least <= cap else counts.limit(0)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, most_words: int = 2_500_000) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every whole text; ids as little-endian 32-bit bytes."""
+class Memo:
+    """What a worker knows of words, over batches and tasks: two generations of at most `most` / 2 words and a batch."""
+
+    def __init__(self, most: int = 200_000):
+        self.most, self.now, self.old = most, ({}, {}), ({}, {})
+
+    def missing(self, words: set[str]) -> set[str]:
+        """The words that aren't known; known ones are kept for a further generation."""
+        if len(self.now[0]) > self.most // 2:
+            self.now, self.old = ({}, {}), self.now
+        new = words.difference(self.now[0])
+        if self.old[0]:
+            again = new & self.old[0].keys()
+            for now, old in zip(self.now, self.old):
+                now.update((w, old[w]) for w in again)
+            new -= again
+        return new
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, most_words: int = 1_500_000, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, and with_ids their ids as text, joined by spaces."""
     spark = docs.sparkSession
     maps = rank_map(ranks)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = written(word_counts(rows))
-    known = frequent(counts, most_words).select(F.xxhash64("key").alias("h"), F.crc32(F.col("key").cast("binary")).alias("c"), _let(maps, lambda m: _key_ids(F.col("key"), m, pattern)).alias("ids"))
+    common = frequent(counts, most_words)
+    # The fold is dear for a row of some bytes, so it gets more tasks than the bytes would.
+    common = common.repartition(max(spark.sparkContext.defaultParallelism * 2, counts.count() // 50_000))
+    known = common.select(F.xxhash64("key").alias("h"), F.crc32(F.col("key").cast("binary")).alias("c"), _let(maps, lambda m: _key_ids(F.col("key"), m, pattern)).alias("ids"))
     words = spark.sparkContext.broadcast(Table(known.toArrow()))  # most_words rows at most
     of = {r: t for t, r in ranks.items()}
     pieces = spark.sparkContext.broadcast([of.get(i, b"") for i in range(max(of) + 1)])
     stops = {c: ranks[c.encode()] for c in ",."}
+    name = uuid.uuid4().hex  # of this table of words, in a worker's memory
 
     def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _own(("bpe unknown", name), Memo)
         for batch in batches:
             for at, texts in _parts(batch.column(1)):
-                keys = [{k for k in _keys(t) if len(k) <= LONG} for t in texts]
-                asked, _ = _stems(set().union(*keys))
+                keys = [set(_keys(t)) for t in texts]
+                new = [k for k in memo.missing(set().union(*keys)) if len(k) <= LONG]
+                stems = {k: k[:-1] if _stem(k) else k for k in new}
+                asked = list(set(stems.values()))
                 rare = {k for k, ids in zip(asked, words.value.find(asked)) if ids is None}
-                rest = [sorted(rare.intersection(k).union(w[:-1] for w in k if _stem(w) and w[:-1] in rare)) if rare else [] for k in keys]
+                odd = {k for k, stem in stems.items() if stem in rare}
+                memo.now[0].update(dict.fromkeys(k for k in new if k not in odd))
+                rest = [list({stems[k] for k in odd.intersection(x)}) if odd else [] for x in keys]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(2)), pa.array(rest, pa.list_(pa.string()))], names=["doc_id", "text", "rare"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        bytes_of = pieces.value
+        bytes_of, memo = pieces.value, _own(("bpe finish", name), Memo)
         rank_of = {t: i for i, t in enumerate(bytes_of) if t}
         cut = regex.compile(pattern)
 
@@ -280,34 +311,38 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, most_words
             return [i for w in cut.findall(piece) for i in merge(w.encode("utf-8", "surrogatepass"), rank_of)]
 
         for batch in batches:
-            rare_keys, rare_ids = batch.column(2).flatten().to_pylist(), batch.column(3).flatten().to_pylist()
-            found = dict(zip(rare_keys, rare_ids))
+            folded = dict(zip(batch.column(2).flatten().to_pylist(), batch.column(3).flatten().to_pylist()))
             for at, texts in _parts(batch.column(1)):
                 keys = [_keys(t) for t in texts]
-                every = set().union(*keys)
-                long = [k for k in every if len(k) > LONG]
-                asked, stopped = _stems(every.difference(long))
-                text, raw, data, many = {}, {}, {}, {}
-                known = [*words.value.find(asked), *(np.array(merged(k), np.int64) for k in long)]
-                for k, ids in zip(asked + long, known):
-                    one = ids.tolist() if ids is not None else found[k]
-                    text[k], raw[k], many[k] = " ".join(map(str, one)), b"".join([bytes_of[i] for i in one]), len(one)
-                    data[k] = np.array(one, "<u4").tobytes()
+                new = memo.missing(set().union(*keys))
+                text, raw = memo.now
+                long = [k for k in new if len(k) > LONG]
+                asked, stopped = _stems(new.difference(long))
+                found = [*words.value.find(asked), *(np.array(merged(k), np.int64) for k in long)]
+                for k, ids in zip(asked + long, found):
+                    one = folded[k] if ids is None else ids.tolist()
+                    text[k], raw[k] = " ".join(map(str, one)), b"".join([bytes_of[i] for i in one])
                 for w in stopped:
                     i, k = stops[w[-1]], w[:-1]
-                    text[w], raw[w], data[w], many[w] = f"{text[k]} {i}", raw[k] + bytes_of[i], data[k] + i.to_bytes(4, "little"), many[k] + 1
-                shas, backs, counts, ids = [], [], [], []
+                    text[w], raw[w] = f"{text[k]} {i}", raw[k] + bytes_of[i]
+                out: list[list] = [[], [], [], []]
                 for k in keys:
-                    shas.append(hashlib.sha256(" ".join(map(text.__getitem__, k)).encode()).hexdigest())
-                    backs.append(hashlib.sha256(b"".join(map(raw.__getitem__, k))).hexdigest())
-                    counts.append(sum(map(many.__getitem__, k)))
-                    ids.append(b"".join(map(data.__getitem__, k)))
-                columns = [batch.column(0).slice(at, len(texts)), pa.array(counts, pa.int64()), pa.array(shas), pa.array(backs), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                    ids = " ".join(map(text.__getitem__, k))
+                    back = hashlib.sha256(b"".join(map(raw.__getitem__, k))).hexdigest()
+                    for column, value in zip(out, (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), back, ids)):
+                        column.append(value)
+                arrays = [batch.column(0).slice(at, len(texts)), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.string())))]
+                n = 5 if with_ids else 4
+                yield pa.RecordBatch.from_arrays(arrays[:n], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:n])
 
     open_ = rows.mapInArrow(unknown, "doc_id long, text string, rare array<string>")
     folded = open_.withColumn("rare_ids", _let(maps, lambda m: F.transform("rare", lambda k: _key_ids(k, m, pattern))))
-    return folded.mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    return folded.mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * with_ids)
+
+
+def _own(key: tuple, make):
+    cache = worker_cache()
+    return cache.get(key) or cache.setdefault(key, make())
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -322,8 +357,7 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    out = encode(table(spark, sf_dir, "documents"), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(table(spark, sf_dir, "documents"), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
