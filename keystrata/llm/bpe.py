@@ -72,8 +72,11 @@ def _rank(maps: Column, text: Column) -> Column:
 
 
 def _let(value: Column, body) -> Column:
-    """body of a value that is computed once (and, if it is a literal, stands in the plan once)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body of a value that is computed once (and, if it is a literal, stands in the plan once).
+
+    A fold over no elements: unlike a transform's elements, its state is handed on without a copy.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda state, _: state, body)
 
 
 def fold(word: Column, maps: Column) -> Column:
