@@ -267,7 +267,7 @@ class Memo:
         if self.old[0]:
             again = new & self.old[0].keys()
             for now, old in zip(self.now, self.old):
-                now.update((w, old[w]) for w in again)
+                now.update((w, old[w]) for w in again if w in old)  # one of the two may not be in use
             new -= again
         return new
 

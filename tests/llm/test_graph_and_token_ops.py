@@ -41,6 +41,15 @@ def test_bpe_matches_the_library(spark):
             assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_memo_keeps_what_is_in_use():
+    memo = bpe.Memo(most=4)
+    for batch in ({"a", "b", "c"}, {"a", "d"}, {"a", "e", "f"}, {"a", "b"}):
+        new = memo.missing(batch)
+        memo.now[0].update(dict.fromkeys(new, 1))
+        assert batch <= memo.now[0].keys()
+    assert memo.missing({"a"}) == set()
+
+
 def test_bpe_decode(spark):
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     rows = spark.createDataFrame([([464, 3290],), ([],)], "ids array<int>").select(bpe.decode(F.col("ids"), ranks).alias("b"))
