@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,17 +204,14 @@ class Table:
         return [self.ids[a:b] if x else None for a, b, x in zip(self.starts[at].tolist(), ends.tolist(), hit.tolist())]
 
 
-def _parts(texts: pa.Array, most_bytes: int = 6_000_000) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of stretches of rows with some megabytes of text."""
-    at, part, size = 0, [], 0
-    for i, t in enumerate(texts.to_pylist()):
-        part.append(t or "")
-        size += len(part[-1])
-        if size >= most_bytes:
-            yield at, part
-            at, part, size = i + 1, [], 0
-    if part:
-        yield at, part
+def _parts(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of stretches of rows with some megabytes of text; one stretch is unpacked at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+        yield at, [t or "" for t in texts.slice(at, to - at).to_pylist()]
+        at = to
 
 
 def _stems(words: set[str]) -> tuple[list[str], list[str]]:
@@ -256,7 +254,7 @@ def frequent(counts: DataFrame, most_words: int) -> DataFrame:
 class Memo:
     """What a worker knows of words, over batches and tasks: two generations of at most `most` / 2 words and a batch."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.most, self.now, self.old = most, ({}, {}), ({}, {})
 
     def missing(self, words: set[str]) -> set[str]:
@@ -272,7 +270,7 @@ class Memo:
         return new
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, most_words: int = 1_500_000, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, most_words: int = 1_000_000, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, and with_ids their ids as text, joined by spaces."""
     spark = docs.sparkSession
     maps = rank_map(ranks)
