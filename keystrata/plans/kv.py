@@ -127,11 +127,19 @@ def kv_key_order(spark, d):
 
 
 def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Global positions without gathering all rows in one task: range partitions, then their offsets."""
+    """Global positions without gathering all rows in one task: range partitions, then their offsets.
+
+    The ranges are cut from a sample, so they are written once: cut twice, they need not be the same.
+    """
     from pyspark.sql import Window
 
+    spark = rows.sparkSession
     cut = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    local = cut.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    cut = cut.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base}/kv-{uuid.uuid4().hex}"
+    cut.write.parquet(path)
+    local = spark.read.schema(cut.schema).parquet(path)
     counts = local.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("part", before.alias("off"))  # one row for each partition
@@ -146,6 +154,15 @@ def kv_mixed_type_order(spark, d):
     return _numbered(rows, ["key", "id"]).select("src", "id", "pos")
 
 
+@query("""select src, id, row_number() over (order by tag, f < 0, abs(f), h, id) as pos from (select 'order' src, o_orderkey id, 6 tag, 0.0::double f, printf('%016X', o_orderkey) h from orders
+  union all select 'customer', c_custkey, 9, 0.0, hex(encode(c_name)) from customer union all select 'supplier', s_suppkey, 8, s_acctbal::double, '' from supplier)""")
+def kv_mixed_type_order_whole(spark, d):
+    """All rows of the three tables; kv_mixed_type_order is bound by its SQL to the first ids."""
+    row = lambda t, src, key, val, kind: table(spark, d, t).select(F.lit(src).alias("src"), F.col(key).cast("bigint").alias("id"), codec.encode(F.col(val), kind).alias("key"))
+    rows = union_sources(row("orders", "order", "o_orderkey", "o_orderkey", "bigserial"), row("customer", "customer", "c_custkey", "c_name", "string"), row("supplier", "supplier", "s_suppkey", "s_acctbal", "bigfloat"))
+    return _numbered(rows, ["key", "id"]).select("src", "id", "pos")
+
+
 @query("select l_linenumber as run, count(*) as records, min(l_orderkey) as min_key, max(l_orderkey) as max_key from lineitem group by 1")
 def kv_flush_run_stats(spark, d):
     return maintain.run_stats(table(spark, d, "lineitem").withColumnRenamed("l_linenumber", "run"), "run", "l_orderkey")
