@@ -9,7 +9,8 @@ twice as many entries in the next round. Rounds end when they find no more than
 Links give components. A vector's links all lie in its component, so an exact comparison inside each
 component, in blocks, completes the link counts however long lists are; no pair of a group is sent
 on, only counts. A bounded set of vectors is also compared with all rows; if less than `recall` of
-their links are found, seeds from further orders are added and the descent goes on.
+their links are found, or of those of them with links less than `recall` have all, seeds from further
+orders are added and the descent goes on. If that still holds after the last try, it is an error.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do
 those with a null label; they are returned with no links and themselves as component. Null ids are
@@ -80,29 +81,57 @@ def _signatures(distinct: DataFrame, orders: int, seed: int, bits: int = 30) ->
 
 
 def seeds(distinct: DataFrame, *, orders: int, seed: int, reach: int, least: float) -> DataFrame:
-    """Pairs of vectors near each other in some order with a cosine of `least` at least."""
+    """Pairs of vectors near each other in some order with a cosine of `least` at least.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each task also sends its first and last `reach` rows on, so that pairs over the edges of tasks are compared too.
+    """
+    keys = ["label", "dim", "way", "code", "id", "vec"]
+
+    def near(now: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        group = np.stack([now.column(c).to_numpy() for c in ("label", "dim", "way")], axis=1)
+        ids, dims = now.column("id").to_numpy(), now.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            x = _matrix(now.column("vec").take(pa.array(at)).combine_chunks(), int(dim))
+            for step in range(1, reach + 1):
+                same = np.flatnonzero((group[at[:-step]] == group[at[step:]]).all(axis=1)) if len(at) > step else np.empty(0, np.int64)
+                cos = np.einsum("ij,ij->i", x[same], x[same + step])
+                good = cos >= least
+                a, b = ids[at[same[good]]], ids[at[same[good] + step]]
+                yield np.minimum(a, b), np.maximum(a, b), cos[good]
+
+    def passes(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
+        head: pa.Table | None = None
         rest: pa.Table | None = None
+        total = 0
         for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = now if rest is None else pa.concat_tables([rest, now])
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch]).select(keys)
+            if head is None or head.num_rows < reach:
+                more = own.slice(0, reach - (0 if head is None else head.num_rows))
+                head = more if head is None else pa.concat_tables([head, more])
+            total += own.num_rows
+            now = own if rest is None else pa.concat_tables([rest, own])
             rest = now.slice(max(0, now.num_rows - reach))
-            group = np.stack([now.column(c).to_numpy() for c in ("label", "dim", "way")], axis=1)
-            ids, dims = now.column("id").to_numpy(), now.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                x = _matrix(now.column("vec").take(pa.array(at)).combine_chunks(), int(dim))
-                for step in range(1, reach + 1):
-                    same = np.flatnonzero((group[at[:-step]] == group[at[step:]]).all(axis=1)) if len(at) > step else np.empty(0, np.int64)
-                    cos = np.einsum("ij,ij->i", x[same], x[same + step])
-                    good = cos >= least
-                    a, b = ids[at[same[good]]], ids[at[same[good] + step]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cos[good])], names=["a", "b", "cos"])
+            for a, b, cos in near(now):
+                found = [pa.array(a), pa.array(b), pa.array(cos)]
+                none = [pa.nulls(len(a), own.schema.field(c).type) for c in keys] if edges else []
+                yield pa.RecordBatch.from_arrays([*found, *none], names=["a", "b", "cos", *keys[: len(none)]])
+        if edges and head is not None:
+            tail = rest.slice(max(0, rest.num_rows - (total - head.num_rows)))  # no row twice
+            for t in (head, tail):
+                none = [pa.nulls(t.num_rows, k) for k in (pa.int64(), pa.int64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*none, *(t.column(c).combine_chunks() for c in keys)], names=["a", "b", "cos", *keys])
 
     order = ["label", "dim", "way", "code", "id"]  # ids keep a range of equal codes from landing in one task
     rows = _signatures(distinct, orders, seed).repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.mapInArrow(run, PAIRS).where("a <> b").dropDuplicates(["a", "b"])
+    kinds = "label long, dim int, way int, code long, id long, vec binary"
+    # Written once: ranges cut a second time need not have the same edges.
+    both = written(rows.mapInArrow(lambda batches: passes(batches, True), f"{PAIRS}, {kinds}"))
+    edge = both.where("way is not null").select(*keys).repartition("label", "dim", "way").sortWithinPartitions(*order)
+    over = edge.mapInArrow(lambda batches: passes(batches, False), PAIRS)
+    return both.where("way is null").select("a", "b", "cos").unionByName(over).where("a <> b").dropDuplicates(["a", "b"])
 
 
 def _scored(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
@@ -130,19 +159,29 @@ def _lists(graph: DataFrame, sizes: DataFrame, start: int) -> DataFrame:
 
 
 def descend(graph: DataFrame, distinct: DataFrame, *, threshold: float, least: float, start: int, rounds: int, few: float) -> DataFrame:
-    """The graph after rounds of neighbours-of-neighbours joins."""
+    """The graph after rounds of neighbours-of-neighbours joins.
+
+    Rounds go on while they find more than a few links, or links of more than a few of the linked
+    vectors: a large group has most links, but is only as many vectors as it is.
+    """
+
+    def linked(pairs: DataFrame) -> int:
+        ends = pairs.where(F.col("cos") >= threshold).select(F.explode(F.array("a", "b")).alias("id"))
+        return ends.distinct().count()
+
     sizes = graph.select(F.col("a").alias("m"), F.lit(start).alias("k")).limit(0)
     links = graph.where(F.col("cos") >= threshold).count()
     for _ in range(rounds):
         lists = durable(_lists(graph, sizes, start))
         one, two = lists.select("m", F.col("x").alias("a")), lists.select("m", F.col("x").alias("b"))
         found = one.join(two, "m").where("a < b").select("a", "b").distinct().join(graph.select("a", "b"), ["a", "b"], "left_anti")
-        graph = written(graph.unionByName(_scored(found, distinct, least)))
+        new = written(_scored(found, distinct, least))
+        graph = graph.unionByName(new)
         # A list that is full down to its last entry with links gets twice the room.
         full = lists.where((F.col("rank") == F.col("k")) & (F.col("cos") >= threshold)).select("m", (2 * F.col("k")).alias("k"))
         sizes = durable(sizes.join(full.select("m"), "m", "left_anti").unionByName(full))
         now = graph.where(F.col("cos") >= threshold).count()
-        if now - links <= few * links:
+        if now - links <= few * links and linked(new) <= few * linked(graph):
             break
         links = now
     return graph
@@ -183,11 +222,11 @@ def _counts(members: DataFrame, *, threshold: float, block: int) -> DataFrame:
     return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(distinct: DataFrame, counts: DataFrame, *, threshold: float, most: int) -> tuple[int, int]:
-    """(links found, links there) of at most `most` vectors, by comparing them with all rows."""
+def audit(distinct: DataFrame, counts: DataFrame, *, threshold: float, most: int) -> tuple[int, int, int, int]:
+    """(links found, links there, vectors with all links found, vectors with links) of at most `most` vectors, by comparing them with all rows."""
     asked = distinct.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "label", "dim", "vec").collect()  # bounded
     if not asked:
-        return 0, 0
+        return 0, 0, 0, 0
     groups: dict[tuple, tuple[list, list]] = {}
     for r in asked:
         ids, vecs = groups.setdefault((r["label"], r["dim"]), ([], []))
@@ -206,8 +245,10 @@ def audit(distinct: DataFrame, counts: DataFrame, *, threshold: float, most: int
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(meets @ n[at])], names=["id", "there"])
 
     there = distinct.select("id", "label", "dim", "vec", "n").mapInArrow(run, "id long, there long").groupBy("id").agg(F.sum("there").alias("there"))
-    got = there.join(counts, "id", "left").agg(F.sum(F.coalesce("links", F.lit(0))).alias("found"), F.sum("there").alias("there")).first()
-    return got["found"] or 0, got["there"] or 0
+    got = there.where("there > 0").join(counts, "id", "left").select(F.coalesce("links", F.lit(0)).alias("found"), "there")
+    whole = F.count(F.when(F.col("found") >= F.col("there"), 1))
+    r = got.agg(F.sum("found").alias("found"), F.sum("there").alias("there"), whole.alias("whole"), F.count("*").alias("asked")).first()
+    return r["found"] or 0, r["there"] or 0, r["whole"], r["asked"]
 
 
 def near_duplicates(
@@ -241,9 +282,11 @@ def near_duplicates(
         found = durable(components(graph.where(F.col("cos") >= threshold).select("a", "b")))
         members = distinct.join(found, "id").select("id", "component", "dim", "vec", "n")
         counts = durable(_counts(members, threshold=threshold, block=block))
-        hit, there = audit(distinct, counts, threshold=threshold, most=audited)
-        if hit >= recall * there:
+        hit, there, whole, asked = audit(distinct, counts, threshold=threshold, most=audited)
+        if hit >= recall * there and whole >= recall * asked:
             break
+    else:
+        raise RuntimeError(f"recall below {recall} after {tries} tries: {hit} of {there} links, all links of {whole} of {asked} vectors")
     known = distinct.join(found, "id", "left").join(counts, "id", "left").select(
         "label", "dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )
