@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.llm import line_dedup, packing, quality, secrets, simhash
-from keystrata.llm.common import written
+from keystrata.llm.common import components, written
 from keystrata.session import table
 
 #: The quality rules, the fingerprints and the vector packing aren't expressible in SQL.
@@ -34,11 +34,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
-    chosen = simhash.near_duplicates(docs).select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi")
-    # Repeated rows of the chosen id are one document.
-    named = named.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("_nth = 1").drop("_nth")
+    """Of each group of linked texts the one with the smallest id stays; rows without an id stay.
+
+    Links are between texts, as one id may be on rows of different texts. Of repeated rows one stays.
+    """
+    named = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).withColumn("_row", F.xxhash64(*docs.columns))
+    fps = written(simhash.fingerprints(named.select(F.col("_text").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_text").distinct())
+    first = named.groupBy("_text").agg(F.min(F.struct("doc_id", "_row")).alias("c")).select("_text", "c.*")
+    found = components(simhash.links(fps.select("fp", F.col("fp").alias("rep")).distinct()))
+    texts = fps.join(first, "_text").join(found, fps["fp"] == found["id"], "left").withColumn("_group", F.coalesce("component", "fp"))
+    key = ["doc_id", "_text", "_row"]
+    chosen = texts.groupBy("_group").agg(F.min(F.struct(*key)).alias("c")).select("c.*")
+    named = named.join(chosen, key, "left_semi")
+    # In the order of the join, so that whole texts are not sorted again.
+    named = named.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(*key))).where("_nth = 1")
     return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -35,3 +35,13 @@ def test_seeds_reach_over_the_edges_of_tasks(spark, reach):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     want = {tuple(sorted((line[i], line[i + k]))) for k in range(1, reach + 1) for i in range(len(line) - k)}
     assert want <= got
+
+
+def test_rows_of_one_id_and_other_texts_stay(spark):
+    import corpus_pipeline as pipeline
+
+    text = lambda k: " ".join(f"{k}{i * i}" for i in range(60))
+    rows = [(1, text("x")), (1, text("y")), (5, text("x")), (5, text("z")), (5, text("z")), (7, text("y")), (None, text("x"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in pipeline.near_duplicate_stage(spark, df, "").collect())
+    assert got == sorted([("1", text("x")), ("1", text("y")), ("5", text("z")), ("None", text("x"))])
