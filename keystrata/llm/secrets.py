@@ -34,8 +34,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([^-]+)-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[ \t]*\r?\n)*(?:[A-Za-z][A-Za-z0-9-]{0,40}:[^\n]*\n)*)([^-]+)-----END \1-----")
+DEK = re.compile(r"^DEK-Info:[ \t]*[A-Z0-9-]+,[ \t]*(?:[0-9A-Fa-f]{2}){8,}[ \t]*\r?$", re.MULTILINE)
 RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{40,})*[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+={0,2}")
+LINE64 = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 RUN16 = re.compile(r"[0-9a-fA-F]{48,}")
 MAGIC = b"openssh-key-v1\0"
 
@@ -70,7 +73,11 @@ def _elements(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_key(data: bytes) -> bool:
-    """A private key: a sequence of a small version number and two or more parts, or length-prefixed fields."""
+    """A private key: a sequence of a small version number and two or more parts, or length-prefixed fields.
+
+    Two more forms have two parts: a version and octets (elliptic curves without parameters), and an
+    algorithm with parameters and octets (an encrypted key; a digest's algorithm has no such parameters).
+    """
     if data.startswith(MAGIC):
         at, fields = len(MAGIC), 0
         for _ in range(3):  # cipher, derivation, its options
@@ -83,7 +90,49 @@ def is_key(data: bytes) -> bool:
     if outer is None or len(outer) != 1:
         return False
     inner = _elements(outer[0][1]) or []
-    return len(inner) >= 3 and inner[0][0] == 2 and inner[0][1] in (b"\0", b"\1") and sum(len(c) for _, c in inner) >= 24
+    if sum(len(c) for _, c in inner) < 24:
+        return False
+    if len(inner) == 2 and inner[1][0] == 4:
+        method = _elements(inner[0][1]) if inner[0][0] == 0x30 else None
+        return inner[0] == (2, b"\1") or (method is not None and [t for t, _ in method] == [6, 0x30])
+    return len(inner) >= 3 and inner[0][0] == 2 and inner[0][1] in (b"\0", b"\1")
+
+
+def _is_armoured(headers: str, body: str) -> bool:
+    """A key in the body, or whole cipher blocks where the headers say that and how it is encrypted."""
+    data = _base64(body)
+    return is_key(data) or ("ENCRYPTED" in headers and DEK.search(headers) is not None and len(data) >= 24 and len(data) % 8 == 0)
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of keys in base64 over lines of one width, the last perhaps shorter."""
+    for block in WRAPPED.finditer(text):
+        lines = [m.span() for m in LINE64.finditer(text, *block.span())]
+        sizes, i = [b - a for a, b in lines], 0
+        while i < len(lines):
+            stop = i + 1
+            while stop < len(lines) and sizes[stop] == sizes[i]:
+                stop += 1
+            shorter = stop < len(lines) and sizes[stop] < sizes[i]
+            for k in range(i, stop):
+                # Sequences and the key format's magic start like this; a sequence says how long it is.
+                head = text[lines[k][0] : lines[k][0] + 12]
+                if not head.startswith(("M", "b3Bl")):
+                    continue
+                start, size = _base64(head), 0
+                if start[:1] == b"\x30":
+                    n = start[1] & 0x7F if start[1] & 0x80 else 0
+                    size = 2 + n + (int.from_bytes(start[2 : 2 + n], "big") if n else start[1])
+                last = k + -(-((size * 8 + 5) // 6) // sizes[i]) if size else 0
+                ends = [last] if size else [stop + 1, stop]
+                for end in ends:
+                    end = max(k + 2, end)
+                    if end > stop + shorter:
+                        continue
+                    if is_key(_base64("".join(text[a:b] for a, b in lines[k:end]))):
+                        yield lines[k][0], lines[end - 1][1]
+                        break
+            i = stop
 
 
 def _base64(text: str) -> bytes:
@@ -117,9 +166,10 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if b"eyJ" in raw:
         out += [("token", *m.span()) for m in TOKEN.finditer(text) if is_token_header(m[1])]
     if b"-----BEGIN " in raw:
-        out += [("armour", *m.span()) for m in ARMOUR.finditer(text) if is_key(_base64(m[2]))]
+        out += [("armour", *m.span()) for m in ARMOUR.finditer(text) if _is_armoured(m[2], m[3])]
     if b"\1" * 40 in raw.translate(IS_64):
         out += [("key", *m.span()) for m in RUN64.finditer(text) if is_key(_base64(m[0]))]
+        out += [("key", *span) for span in _wrapped(text)]
     return sorted(set(out), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
