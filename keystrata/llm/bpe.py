@@ -1,18 +1,21 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-A word's bytes are held as a string of one character for each byte. A fold over the word's length
-merges, each time, the leftmost adjacent pair of lowest rank; it keeps the ranks of all adjacent
-pairs and looks up only the two that a merge changes. The rank map is a literal: an array of small
-maps, chosen by hash, since Spark searches a map's keys one after another.
-
-Texts are cut into words at spaces before visible characters, where no token crosses; a comma or full
-stop after a Latin letter is cut off too. Distinct words are counted over all texts, combined before
-the shuffle, and the fold runs once for each of the most frequent ones: as many counts as there is
-room for in a table of `most_words` (a bound for what is broadcast, whatever the corpus' size). The
-words of a text that aren't in the table go back to Spark, which folds them where they stand by the
-same expression. So nothing but word counts is exchanged, and texts stay where they are read. Pieces of
-over `LONG` characters, where a fold would take time in the square of the length, are merged by the
-same rule with a heap.
+Texts are cut into the matches of the tokenizer's pattern where they are read. A stretch of rows with
+some megabytes of text becomes one row: its distinct words, once each, and the order in which its
+documents hold them. Spark folds the ranked merges over the bytes of each distinct word and joins the
+binary pieces of its ids again; a last pass puts ids and bytes of the words in each document's order.
+All of it is one stage: nothing is shuffled, broadcast, collected or written, so hot rows, frequent
+words and lost executors cost what any other row or task costs, and work grows with the text.
+
+Each round of the fold merges the adjacent pair of lowest rank, in all places of the word, from its
+left: that equals one merge at a time, because in ranks whose tokens all encode to themselves no merge
+makes a pair of lower rank than its own, and a token arises from one pair of parts only. `merges`
+checks that of the ranks and derives the pair of each token. So a run of one letter takes rounds by
+the logarithm of its length. A long word without such runs, as a text in letters without any space or
+mark, takes a round for each merge and so time in the square of its length.
+
+The rank map is a literal of two arrays, the sparse table of pairs with its rows laid into one
+another: a pair is looked up by two places, where Spark would search a map's keys one after another.
 
 Null text counts as empty and gives no ids; texts and words of any length are encoded whole.
 Repeated rows and null ids are kept; other columns are ignored; an empty table gives an empty result.
@@ -22,12 +25,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import json
-import re
-import uuid
-import zlib
-from collections import Counter
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import worker_cache, written
 from keystrata.session import table
 
-BUCKETS = 1 << 16
-NONE = (1 << 31) - 1  # ranks above all: no such pair
 LATIN = "ISO-8859-1"
+#: Characters of text in a stretch of rows, about: its distinct words are folded once. A longer document is a stretch of its own.
+STRETCH = 12_000_000
+#: A part's number in the fold: its id, from bit TOKEN on the token of its pair, from bit LEFT on what must be zero.
+TOKEN, LEFT = 20, 40
+ID_MASK = (1 << TOKEN) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,27 +51,61 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def java_pattern(pattern: str) -> str:
-    """The split pattern with Unicode white space, as the reference library reads \\s."""
-    space = r"\x09-\x0D\x20\x85\xA0  -     　"
-    return pattern.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
-
-
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """A literal array of maps from byte strings to ranks; the optimiser folds it to a constant."""
-    import xxhash
+def _characters(text: Column) -> Column:
+    """A split at the empty pattern would search each character from the text's start."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """(id, id) of the two parts that each token of several bytes arises from, and its own id."""
+    if any(bytes([b]) not in ranks for b in range(256)) or max(ranks.values()) >= ID_MASK:
+        raise ValueError("each byte must be a token, and ids must be below a million")
+    out: dict[tuple[int, int], int] = {}
+    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        parts = [ranks[token[i : i + 1]] for i in range(len(token))]
+        while len(parts) > 2:
+            least, at = min((out.get(p, rank), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if least >= rank:
+                break
+            parts[at : at + 2] = [least]
+        if len(parts) > 2 or (len(parts) == 2 and max(parts) >= rank and len(token) > 2):
+            raise ValueError(f"{token!r} doesn't arise from tokens of lower rank")
+        if len(parts) == 2:
+            out[parts[0], parts[1]] = rank
+    return out
 
-    maps: list[dict] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        text = token.decode("latin-1")
-        maps[xxhash.xxh64_intdigest(text.encode(), 42) % BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
+def table_of(pairs: dict[tuple[int, int], int], size: int) -> tuple[list[int], list[int]]:
+    """(row of each left id, cells): the cell at row[left] ^ right holds left and the token, others no left id there is.
 
-def _rank(maps: Column, text: Column) -> Column:
-    # The low bits of the signed hash are those of the unsigned one.
-    at = F.xxhash64(text).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-    return F.coalesce(F.try_element_at(F.get(maps, at), text), F.lit(NONE))
+    Lefts with the most pairs are placed first, each at the next row number where its cells are free.
+    """
+    rows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for (a, b), token in pairs.items():
+        rows[a].append((b, token))
+    width = 1 << (2 * max(size, len(pairs))).bit_length()
+    free, cells = np.ones(width, bool), np.full(width, 1 << 62, np.int64)
+    row, first, before = [0] * size, 0, 0
+    for a, some in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        at = np.array([b for b, _ in some])
+        if len(some) != before:  # fewer cells may fit between those before
+            first, before = 0, len(some)
+        found = np.empty(0, np.int64)
+        while not len(found):
+            if first >= width:
+                raise ValueError("no room for the table of pairs")
+            tries = np.arange(first, min(width, first + max(64, 8192 // len(some))))
+            found = tries[free[tries[:, None] ^ at].all(axis=1)]
+            first = int(found[0]) if len(found) else int(tries[-1]) + 1
+        row[a] = first
+        free[first ^ at] = False
+        cells[first ^ at] = (a << LEFT) | (np.array([t for _, t in some]) << TOKEN)
+    return row, cells.tolist()
+
+
+def _literal(values: list, kind: str) -> Column:
+    """A constant array; the optimiser folds it once, where an array of literals would be as many expressions."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
 def _let(value: Column, body) -> Column:
@@ -80,279 +116,177 @@ def _let(value: Column, body) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda state, _: state, body)
 
 
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The literal that fold() reads: ids of single bytes and of the mark before and behind a word, and the table of pairs."""
+    size = max(ranks.values()) + 2
+    row, cells = table_of(merges(ranks), size)
+    single = [ranks[bytes([b])] for b in range(256)]
+    return F.struct(_literal([*single, size - 1], "bigint").alias("single"), _literal(row, "bigint").alias("row"), _literal(cells, "bigint").alias("cells"))
+
+
+def _with(maps: Column, body) -> Column:
+    """body of the function that folds a word; the arrays of the map are taken out of it once."""
+    arrays = lambda m: _let(m["row"], lambda row: _let(m["cells"], lambda cells: _let(m["single"], lambda single: body(lambda w: _fold(w, single, row, cells)))))
+    return _let(maps, arrays)
+
+
 def fold(word: Column, maps: Column) -> Column:
+    """Ids of one word; maps is what rank_map() returns."""
+    return _with(maps, lambda fold_one: fold_one(word))
+
+
+def _fold(word: Column, single: Column, row: Column, cells: Column) -> Column:
     """Ids of one word, by ranked merges over its bytes; an empty word has none.
 
-    State: where each part begins, and for each adjacent pair that has a rank one number, the rank
-    above the pair's place, so that the smallest number is the leftmost pair of the lowest rank.
+    The state is one number for each part: above its id stands the token that it and the next part
+    merge to, and above that a remainder unless there is such a token. So the least number of all is
+    a pair of the lowest rank, and its first place the leftmost of them.
     """
-    place = F.lit((1 << 32) - 1)
-
-    def code(rank: Column, at: Column) -> Column:
-        return F.when(rank < NONE, F.shiftleft(rank.cast("long"), 32) + at)
-
-    def start(text: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: code(_rank(maps, F.substring(text, i, F.lit(2))), i))
-        return F.struct(F.sequence(F.lit(1), F.length(text) + 1).alias("cuts"), F.array_compact(pairs).alias("pairs"))
-
-    def merged(text: Column, state: Column, at: Column) -> Column:
-        cuts = state["cuts"]
-
-        def around(i: Column) -> Column:
-            return _let(F.struct(F.get(cuts, i - 2).alias("a"), F.get(cuts, i).alias("b"), F.get(cuts, i + 1).alias("c"), F.get(cuts, i + 2).alias("d")), change)
-
-        def change(x: Column) -> Column:
-            a, b, c, d = (x[k] for k in "abcd")
-            left = F.when(a.isNotNull(), code(_rank(maps, F.substring(text, a, c - a)), a))
-            right = F.when(d.isNotNull(), code(_rank(maps, F.substring(text, at, d - at)), at))
-            others = F.filter(state["pairs"], lambda q: _let(q.bitwiseAND(place), lambda p: (p > b) | (p < F.coalesce(a, at))))
-            return F.struct(F.array_remove(cuts, b).alias("cuts"), F.concat(others, F.array_compact(F.array(left, right))).alias("pairs"))
-
-        return _let(F.array_position(cuts, at).cast("int"), around)
-
-    def parts(text: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            least = F.array_min(state["pairs"])
-            return F.when(F.size(state["pairs"]) == 0, state).otherwise(
-                _let(least.bitwiseAND(place).cast("int"), lambda at: merged(text, state, at))
-            )
-
-        cuts = F.aggregate(F.sequence(F.lit(2), F.length(text)), start(text), step, lambda s: s["cuts"])
-        return _let(cuts, lambda k: F.transform(F.slice(k, F.lit(1), F.size(k) - 1), lambda c, j: _rank(maps, F.substring(text, c, F.get(k, j + 1) - c))))
-
-    def whole(text: Column) -> Column:
-        return F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(
-            _let(_rank(maps, text), lambda one: F.when(one < NONE, F.array(one)).otherwise(parts(text)))
-        )
-
-    return _let(F.decode(word.cast("binary"), LATIN), whole)
-
-
-LONG = 200
-RAW = "\0"  # marks the key of a piece that isn't a space and a word
-ODD = re.compile(r" (?:\s|\Z)|\0")
-SPLIT = re.compile(r"(?= [^\s])")
-
-
-def _keys(text: str) -> list[str]:
-    """The pieces of a text, whose ids follow one another; a key is a word, or RAW and a piece."""
-    if ODD.search(text):
-        pieces = SPLIT.split(text)
-        return [p[1:] if p[:1] == " " and p[1:2] != RAW and len(p) > 1 else RAW + p for p in pieces if p]
-    first, *words = text.split(" ")
-    return [RAW + first, *words] if first else words
-
-
-def _stem(key: str) -> bool:
-    """Whether the key's last character is a stop that is a token of its own."""
-    return key[-1] in ",." and "A" <= key[-2:-1] < "\u0250" and key[-2].isalpha()
-
-
-def _key_ids(key: Column, maps: Column, pattern: str) -> Column:
-    piece = F.when(key.startswith(RAW), F.substring(key, 2, 1 << 30)).otherwise(F.concat(F.lit(" "), key))
-    return F.flatten(F.transform(F.regexp_extract_all(piece, F.lit(java_pattern(pattern)), F.lit(0)), lambda w: fold(w, maps)))
-
-
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word by ranked merges, leftmost of the lowest rank first, with a heap of pairs."""
-    if word in ranks:
-        return [ranks[word]]
-    ends, before = list(range(1, len(word) + 1)), list(range(-1, len(word)))  # of the part that begins at i
-    heap = [(ranks[word[i : i + 2]], i, i + 1, i + 2) for i in range(len(word) - 1) if word[i : i + 2] in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, i, middle, end = heapq.heappop(heap)
-        if ends[i] != middle or ends[middle] != end:
-            continue  # one of its parts has been merged since
-        ends[i], ends[middle] = end, 0
-        if end < len(word):
-            before[end] = i
-        for a, c in ((before[i], end), (i, ends[end] if end < len(word) else 0)):
-            if a >= 0 and c and (rank := ranks.get(word[a:c])) is not None:
-                heapq.heappush(heap, (rank, a, ends[a], c))
-    out, at = [], 0
-    while at < len(word):
-        out.append(ranks[word[at : ends[at]]])
-        at = ends[at]
-    return out
+    mask, rest = F.lit(ID_MASK).cast("bigint"), F.lit(1 << 30)
+    end = F.get(single, F.lit(256))
+
+    def link(a: Column, b: Column) -> Column:
+        """The number of part a before part b; null if b is."""
+        cell = F.get(cells, F.get(row, a).bitwiseXOR(b))
+        return cell.bitwiseXOR(a * F.lit((1 << LEFT) + 1))
+
+    def linked(ids: Column) -> Column:
+        """The state of ids that `end` encloses."""
+        return F.concat(F.array_compact(F.zip_with(ids, F.slice(ids, F.lit(2), rest), link)), F.array(end + F.lit(1 << 62)))
+
+    def once(s: Column, at: Column, token: Column) -> Column:
+        """The pair at a place (from 1) merged; two numbers change."""
+        before, after = (F.get(s, at + k).bitwiseAND(mask) for k in (-2, 1))
+        new = F.array(link(before, token), link(token, after))
+        return F.flatten(F.array(F.slice(s, F.lit(1), at - 2), new, F.slice(s, at + 2, rest)))
+
+    def everywhere(s: Column, least: Column, token: Column) -> Column:
+        """All pairs like the least one merged; where they overlap (aaa), every other one of a run."""
+        hits = F.array_join(F.transform(s, lambda x: F.when(x == least, "1").otherwise("0")), "")
+
+        def parts(at: Column) -> Column:
+            here = lambda x, i: F.when(F.get(at, i) == "1", token).when(F.coalesce(F.get(at, i - 1), F.lit("0")) == "0", x.bitwiseAND(mask))
+            return F.array_compact(F.transform(s, here))
+
+        return _let(_let(_characters(F.replace(hits, F.lit("11"), F.lit("10"))), parts), linked)
+
+    def merged(s: Column, least: Column) -> Column:
+        def at_place(at: Column) -> Column:
+            again = F.array_position(F.slice(s, at + 1, rest), least) > 0
+            return _let(F.shiftright(least, TOKEN), lambda token: F.when(again, everywhere(s, least, token)).otherwise(once(s, at, token)))
+
+        return _let(F.array_position(s, least).cast("int"), at_place)
+
+    def step(s: Column, _: Column) -> Column:
+        done = F.concat(F.array(F.lit(-1).cast("bigint")), F.slice(s, F.lit(2), rest))  # rounds after the last look at one number only
+        more = _let(F.array_min(s), lambda least: F.when(least >= F.lit(1 << LEFT), done).otherwise(merged(s, least)))
+        return F.when(F.get(s, F.lit(0)) < 0, s).otherwise(more)
 
+    def whole(bytes_: Column) -> Column:
+        ids = F.concat(F.array(end), F.transform(bytes_, lambda b: F.get(single, F.ascii(b))), F.array(end))
+        rounds = F.sequence(F.lit(2), F.greatest(F.size(bytes_), F.lit(2)))
+        inner = lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(mask).cast("int"))
+        return F.aggregate(rounds, _let(ids, linked), step, inner)
 
-class Table:
-    """Ids of the most frequent keys, found by two hashes of the key; plain arrays, so it is cheap to send."""
+    text = F.decode(word.cast("binary"), LATIN)
+    return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(_let(_characters(text), whole))
 
-    def __init__(self, rows: pa.Table):
-        h = rows.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        lists = rows.column("ids").combine_chunks()
-        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks or [pa.array([], pa.list_(pa.int32()))])
-        sizes = np.diff(lists.offsets.to_numpy())
-        starts = lists.offsets.to_numpy()[:-1][order].astype(np.int64)
-        self.hashes, self.checks, self.starts, self.sizes = h[order], rows.column("c").to_numpy()[order].astype(np.uint32), starts, sizes[order].astype(np.int32)
-        self.ids = lists.values.to_numpy().astype(np.uint16 if len(lists.values) == 0 or lists.values.to_numpy().max() < 1 << 16 else np.uint32)
 
-    def find(self, keys: list[str]) -> list[np.ndarray | None]:
-        """Ids of each key, None for those that aren't in the table."""
-        import xxhash
+def pieces(ranks: dict[bytes, int]) -> Column:
+    """A literal array of each id's bytes, as hexadecimal digits."""
+    hexed = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        hexed[rank] = token.hex()
+    return _literal(hexed, "string")
+
+
+def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of an array of ids: its binary pieces, one after another."""
+    return _let(pieces(ranks), lambda p: _decoded(ids, p))
 
-        if not len(self.hashes):
-            return [None] * len(keys)
-        data = [k.encode("utf-8", "surrogatepass") for k in keys]
-        h = np.array([xxhash.xxh64_intdigest(d, 42) for d in data], np.uint64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = (self.hashes[at] == h) & (self.checks[at] == np.array([zlib.crc32(d) for d in data], np.uint32))
-        ends = self.starts[at] + self.sizes[at]
-        return [self.ids[a:b] if x else None for a, b, x in zip(self.starts[at].tolist(), ends.tolist(), hit.tolist())]
+
+def _decoded(ids: Column, pieces: Column) -> Column:
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
-def _parts(texts: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of stretches of rows with some megabytes of text; one stretch is unpacked at a time."""
+def _stretches(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of stretches of rows; one stretch is unpacked at a time."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield at, [t or "" for t in texts.slice(at, to - at).to_pylist()]
         at = to
 
 
-def _stems(words: set[str]) -> tuple[list[str], list[str]]:
-    """(keys to look up, keys that are one of those and a stop)."""
-    stopped = [w for w in words if _stem(w)]
-    return list(words.difference(stopped).union(w[:-1] for w in stopped)), stopped
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(key, n) over all texts: counted in each stretch of rows, then summed."""
+def cut(docs: DataFrame, pattern: str, stretch: int = STRETCH) -> DataFrame:
+    """Stretches of rows: their doc ids, the distinct words, their order in the texts, and where each text's order ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in _parts(batch.column(0)):
-                counts: Counter = Counter()
-                for t in texts:
-                    counts.update(_keys(t))
-                for w in [w for w in counts if len(w) > LONG]:
-                    del counts[w]
-                for w in [w for w in counts if _stem(w)]:
-                    counts[w[:-1]] += counts.pop(w)
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def frequent(counts: DataFrame, most_words: int) -> DataFrame:
-    """Keys from the smallest count on that leaves at most most_words of them."""
-    cap = 10_000
-    tally = {r["n"]: r["words"] for r in counts.groupBy(F.least("n", F.lit(cap)).alias("n")).agg(F.count("*").alias("words")).collect()}  # `cap` rows at most
-    room, least = most_words, cap + 1
-    for n in sorted(tally, reverse=True):
-        room -= tally[n]
-        if room < 0:
-            break
-        least = n
-    return counts.where(F.col("n") >= least) if least <= cap else counts.limit(0)
-
-
-class Memo:
-    """What a worker knows of words, over batches and tasks: two generations of at most `most` / 2 words and a batch."""
-
-    def __init__(self, most: int = 100_000):
-        self.most, self.now, self.old = most, ({}, {}), ({}, {})
-
-    def missing(self, words: set[str]) -> set[str]:
-        """The words that aren't known; known ones are kept for a further generation."""
-        if len(self.now[0]) > self.most // 2:
-            self.now, self.old = ({}, {}), self.now
-        new = words.difference(self.now[0])
-        if self.old[0]:
-            again = new & self.old[0].keys()
-            for now, old in zip(self.now, self.old):
-                now.update((w, old[w]) for w in again if w in old)  # one of the two may not be in use
-            new -= again
-        return new
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, most_words: int = 1_000_000, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, and with_ids their ids as text, joined by spaces."""
-    spark = docs.sparkSession
-    maps = rank_map(ranks)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = written(word_counts(rows))
-    common = frequent(counts, most_words)
-    # The fold is dear for a row of some bytes, so it gets more tasks than the bytes would.
-    common = common.repartition(max(spark.sparkContext.defaultParallelism * 2, counts.count() // 50_000))
-    known = common.select(F.xxhash64("key").alias("h"), F.crc32(F.col("key").cast("binary")).alias("c"), _let(maps, lambda m: _key_ids(F.col("key"), m, pattern)).alias("ids"))
-    words = spark.sparkContext.broadcast(Table(known.toArrow()))  # most_words rows at most
-    of = {r: t for t, r in ranks.items()}
-    pieces = spark.sparkContext.broadcast([of.get(i, b"") for i in range(max(of) + 1)])
-    stops = {c: ranks[c.encode()] for c in ",."}
-    name = uuid.uuid4().hex  # of this table of words, in a worker's memory
-
-    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _own(("bpe unknown", name), Memo)
-        for batch in batches:
-            for at, texts in _parts(batch.column(1)):
-                keys = [set(_keys(t)) for t in texts]
-                new = [k for k in memo.missing(set().union(*keys)) if len(k) <= LONG]
-                stems = {k: k[:-1] if _stem(k) else k for k in new}
-                asked = list(set(stems.values()))
-                rare = {k for k, ids in zip(asked, words.value.find(asked)) if ids is None}
-                odd = {k for k, stem in stems.items() if stem in rare}
-                memo.now[0].update(dict.fromkeys(k for k in new if k not in odd))
-                rest = [list({stems[k] for k in odd.intersection(x)}) if odd else [] for x in keys]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(texts)) for c in range(2)), pa.array(rest, pa.list_(pa.string()))], names=["doc_id", "text", "rare"])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        bytes_of, memo = pieces.value, _own(("bpe finish", name), Memo)
-        rank_of = {t: i for i, t in enumerate(bytes_of) if t}
-        cut = regex.compile(pattern)
-
-        def merged(key: str) -> list[int]:
-            piece = key[1:] if key[0] == RAW else " " + key
-            return [i for w in cut.findall(piece) for i in merge(w.encode("utf-8", "surrogatepass"), rank_of)]
-
+        words_of = regex.compile(pattern).findall
         for batch in batches:
-            folded = dict(zip(batch.column(2).flatten().to_pylist(), batch.column(3).flatten().to_pylist()))
-            for at, texts in _parts(batch.column(1)):
-                keys = [_keys(t) for t in texts]
-                new = memo.missing(set().union(*keys))
-                text, raw = memo.now
-                long = [k for k in new if len(k) > LONG]
-                asked, stopped = _stems(new.difference(long))
-                found = [*words.value.find(asked), *(np.array(merged(k), np.int64) for k in long)]
-                for k, ids in zip(asked + long, found):
-                    one = folded[k] if ids is None else ids.tolist()
-                    text[k], raw[k] = " ".join(map(str, one)), b"".join([bytes_of[i] for i in one])
-                for w in stopped:
-                    i, k = stops[w[-1]], w[:-1]
-                    text[w], raw[w] = f"{text[k]} {i}", raw[k] + bytes_of[i]
-                out: list[list] = [[], [], [], []]
-                for k in keys:
-                    ids = " ".join(map(text.__getitem__, k))
-                    back = hashlib.sha256(b"".join(map(raw.__getitem__, k))).hexdigest()
-                    for column, value in zip(out, (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), back, ids)):
-                        column.append(value)
-                arrays = [batch.column(0).slice(at, len(texts)), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.string())))]
-                n = 5 if with_ids else 4
-                yield pa.RecordBatch.from_arrays(arrays[:n], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:n])
-
-    open_ = rows.mapInArrow(unknown, "doc_id long, text string, rare array<string>")
-    folded = open_.withColumn("rare_ids", _let(maps, lambda m: F.transform("rare", lambda k: _key_ids(k, m, pattern))))
-    return folded.mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * with_ids)
-
-
-def _own(key: tuple, make):
-    cache = worker_cache()
-    return cache.get(key) or cache.setdefault(key, make())
+            for at, texts in _stretches(batch.column(1), stretch):
+                seen: defaultdict[str, int] = defaultdict()
+                seen.default_factory = seen.__len__
+                order, ends = array("i"), array("q")
+                for text in texts:
+                    order.extend(map(seen.__getitem__, words_of(text)))
+                    ends.append(len(order))
+                one = (
+                    batch.column(0).slice(at, len(texts)),
+                    pa.array(np.frombuffer(ends, np.int64)),
+                    pa.array(np.frombuffer(order, np.int32)),
+                    pa.array(list(seen), pa.string()),
+                )
+                columns = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in one]
+                yield pa.RecordBatch.from_arrays(columns, names=["docs", "ends", "order", "words"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "docs array<long>, ends array<long>, order array<int>, words array<string>")
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids: bool = False, stretch: int = STRETCH) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, and with_ids their ids as an array."""
+
+    def words(fold_one, pieces: Column) -> Column:
+        both = lambda ids: F.struct(ids.alias("ids"), _decoded(ids, pieces).alias("bytes"))
+        return F.transform("words", lambda w: _let(fold_one(w), both))
+
+    folded = _let(pieces(ranks), lambda p: _with(rank_map(ranks), lambda fold_one: words(fold_one, p)))
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def digests(column: pa.Array, order: pa.Array, cuts: np.ndarray, less: int) -> list[str]:
+            """Of each document's words one after another, without the last `less` bytes."""
+            taken = column.take(order)
+            at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][cuts].tolist()
+            data = memoryview(taken.buffers()[2] or b"")
+            return [hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(at, at[1:])]
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids: a literal array of pieces, concatenated."""
-    hexed = [""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        hexed[rank] = token.hex()
-    pieces = F.from_json(F.lit(json.dumps(hexed)), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc, ends, order, known = (batch.column(c)[row].values for c in ("docs", "ends", "order", "words"))
+                cuts = np.concatenate([[0], ends.to_numpy()])
+                ids, data = pc.struct_field(known, "ids"), pc.struct_field(known, "bytes")
+                text = pc.binary_join(ids.cast(pa.list_(pa.string())), " ")
+                text = pc.binary_join_element_wise(text, "", " ").cast(pa.large_string())
+                sizes = pc.list_value_length(ids).take(order).to_numpy(zero_copy_only=False)
+                tokens = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[cuts]
+                columns = [
+                    doc,
+                    pa.array(np.diff(tokens)),
+                    pa.array(digests(text, order, cuts, 1), pa.string()),
+                    pa.array(digests(data.cast(pa.large_binary()), order, cuts, 0), pa.string()),
+                ]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), ids.take(order).flatten()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = cut(docs, pattern, stretch).withColumn("words", folded)
+    return rows.mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

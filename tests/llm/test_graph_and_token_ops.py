@@ -33,21 +33,48 @@ def test_bpe_matches_the_library(spark):
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     df = table(spark, DIR, "documents").select("doc_id", "text").limit(20).unionByName(odd(spark))
     texts = {r.doc_id: r.text or "" for r in df.collect()}
-    for most in (100_000, 50):  # all words in the table, or nearly none
-        for r in bpe.encode(df, ranks, P.PATTERN, most_words=most, with_ids=True).collect():
+    for stretch in (bpe.STRETCH, 50):  # all rows in one stretch, or nearly one each
+        for r in bpe.encode(df, ranks, P.PATTERN, with_ids=True, stretch=stretch).collect():
             ids = library.encode_ordinary(texts[r.doc_id])
-            assert r.ids == " ".join(map(str, ids))
+            assert r.ids == ids
             assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
             assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
-def test_memo_keeps_what_is_in_use():
-    memo = bpe.Memo(most=4)
-    for batch in ({"a", "b", "c"}, {"a", "d"}, {"a", "e", "f"}, {"a", "b"}):
-        new = memo.missing(batch)
-        memo.now[0].update(dict.fromkeys(new, 1))
-        assert batch <= memo.now[0].keys()
-    assert memo.missing({"a"}) == set()
+def test_bpe_query_on_all_documents(spark):
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in table(spark, DIR, "documents").collect()}
+    rows = bpe.op2_byte_bpe(spark, DIR).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_bpe_rows_nobody_wants(spark):
+    """Null and repeated ids, repeated rows, clashing columns, and a word of a hundred thousand letters."""
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    rows = [(None, "a b", 1, 2), (None, "a b", 1, 2), (5, "c", 1, 2), (5, "d", 1, 2), (6, "a" * 100_000, 1, 2)]
+    df = spark.createDataFrame(rows, DOC + ", ids long, words long")
+    out = bpe.encode(df, ranks, P.PATTERN, with_ids=True).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in out)[:4] == [(0, 2), (0, 2), (5, 1), (5, 1)]
+    long = next(r for r in out if r.doc_id == 6)
+    bytes_of = {i: t for t, i in ranks.items()}
+    assert b"".join(bytes_of[i] for i in long.ids) == b"a" * 100_000
+
+
+def test_bpe_merges_need_regular_ranks():
+    single = {bytes([b]): b for b in range(256)}
+    with pytest.raises(ValueError):
+        bpe.merges(single | {b"abc": 256})
+    assert bpe.merges(single | {b"ab": 256, b"abc": 257}) == {(97, 98): 256, (256, 99): 257}
+    pairs = bpe.merges(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")))
+    row, cells = bpe.table_of(pairs, 50_257)
+    assert all(cells[row[a] ^ b] == (a << bpe.LEFT) | (t << bpe.TOKEN) for (a, b), t in pairs.items())
 
 
 def test_bpe_decode(spark):
