@@ -29,6 +29,7 @@ import json
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,15 @@ from pyspark.sql import functions as F
 
 from keystrata.session import table
 
-LATIN = "ISO-8859-1"
+#: Stands before and behind the bytes of a word; twice behind, as each part's number depends on the next part.
+MARK = 256
+MARKS = (MARK, MARK, MARK)
+#: A round of a word with at least so many parts merges its pair in all places; of a shorter one, in the leftmost.
+SHORT = 64
 #: Characters of text in a stretch of rows, about: its distinct words are folded once. A longer document is a stretch of its own.
-STRETCH = 12_000_000
+STRETCH = 4_000_000
+#: Words that a task remembers at most, and those of one stretch more; a word met again after that is folded again.
+MOST_WORDS = 400_000
 #: A part's number in the fold: its id, from bit TOKEN on the token of its pair, from bit LEFT on what must be zero.
 TOKEN, LEFT = 20, 40
 ID_MASK = (1 << TOKEN) - 1
@@ -53,7 +60,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def _characters(text: Column) -> Column:
     """A split at the empty pattern would search each character from the text's start."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.regexp_extract_all(text, F.lit("."), F.lit(0))
 
 
 def merges(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
@@ -130,20 +137,19 @@ def _with(maps: Column, body) -> Column:
     return _let(maps, arrays)
 
 
-def fold(word: Column, maps: Column) -> Column:
-    """Ids of one word; maps is what rank_map() returns."""
-    return _with(maps, lambda fold_one: fold_one(word))
+def fold(marked: Column, maps: Column) -> Column:
+    """Ids of one word, whose bytes stand between MARKS; maps is what rank_map() returns."""
+    return _with(maps, lambda fold_one: fold_one(marked))
 
 
-def _fold(word: Column, single: Column, row: Column, cells: Column) -> Column:
-    """Ids of one word, by ranked merges over its bytes; an empty word has none.
+def _fold(marked: Column, single: Column, row: Column, cells: Column) -> Column:
+    """By ranked merges over the bytes; an empty word has no ids.
 
     The state is one number for each part: above its id stands the token that it and the next part
     merge to, and above that a remainder unless there is such a token. So the least number of all is
     a pair of the lowest rank, and its first place the leftmost of them.
     """
     mask, rest = F.lit(ID_MASK).cast("bigint"), F.lit(1 << 30)
-    end = F.get(single, F.lit(256))
 
     def link(a: Column, b: Column) -> Column:
         """The number of part a before part b; null if b is."""
@@ -151,8 +157,7 @@ def _fold(word: Column, single: Column, row: Column, cells: Column) -> Column:
         return cell.bitwiseXOR(a * F.lit((1 << LEFT) + 1))
 
     def linked(ids: Column) -> Column:
-        """The state of ids that `end` encloses."""
-        return F.concat(F.array_compact(F.zip_with(ids, F.slice(ids, F.lit(2), rest), link)), F.array(end + F.lit(1 << 62)))
+        return F.transform(ids, lambda x, i: link(x, F.get(ids, i + 1)))
 
     def once(s: Column, at: Column, token: Column) -> Column:
         """The pair at a place (from 1) merged; two numbers change."""
@@ -166,30 +171,24 @@ def _fold(word: Column, single: Column, row: Column, cells: Column) -> Column:
 
         def parts(at: Column) -> Column:
             here = lambda x, i: F.when(F.get(at, i) == "1", token).when(F.coalesce(F.get(at, i - 1), F.lit("0")) == "0", x.bitwiseAND(mask))
-            return F.array_compact(F.transform(s, here))
+            return F.concat(F.array_compact(F.transform(s, here)), F.array(F.get(single, F.lit(MARK))))
 
         return _let(_let(_characters(F.replace(hits, F.lit("11"), F.lit("10"))), parts), linked)
 
     def merged(s: Column, least: Column) -> Column:
-        def at_place(at: Column) -> Column:
-            again = F.array_position(F.slice(s, at + 1, rest), least) > 0
-            return _let(F.shiftright(least, TOKEN), lambda token: F.when(again, everywhere(s, least, token)).otherwise(once(s, at, token)))
-
-        return _let(F.array_position(s, least).cast("int"), at_place)
+        token = F.shiftright(least, TOKEN)
+        one = _let(F.array_position(s, least).cast("int"), lambda at: once(s, at, token))
+        return F.when(F.size(s) < F.lit(SHORT), one).otherwise(everywhere(s, least, token))
 
     def step(s: Column, _: Column) -> Column:
         done = F.concat(F.array(F.lit(-1).cast("bigint")), F.slice(s, F.lit(2), rest))  # rounds after the last look at one number only
         more = _let(F.array_min(s), lambda least: F.when(least >= F.lit(1 << LEFT), done).otherwise(merged(s, least)))
         return F.when(F.get(s, F.lit(0)) < 0, s).otherwise(more)
 
-    def whole(bytes_: Column) -> Column:
-        ids = F.concat(F.array(end), F.transform(bytes_, lambda b: F.get(single, F.ascii(b))), F.array(end))
-        rounds = F.sequence(F.lit(2), F.greatest(F.size(bytes_), F.lit(2)))
-        inner = lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(mask).cast("int"))
-        return F.aggregate(rounds, _let(ids, linked), step, inner)
-
-    text = F.decode(word.cast("binary"), LATIN)
-    return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(_let(_characters(text), whole))
+    ids = F.transform(marked, lambda b: F.get(single, b))
+    rounds = F.sequence(F.lit(len(MARKS) + 2), F.greatest(F.size(marked), F.lit(len(MARKS) + 2)))
+    inner = lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - len(MARKS)), lambda x: x.bitwiseAND(mask).cast("int"))
+    return F.aggregate(rounds, _let(ids, linked), step, inner)
 
 
 def pieces(ranks: dict[bytes, int]) -> Column:
@@ -219,17 +218,31 @@ def _stretches(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
         at = to
 
 
-def cut(docs: DataFrame, pattern: str, stretch: int = STRETCH) -> DataFrame:
-    """Stretches of rows: their doc ids, the distinct words, their order in the texts, and where each text's order ends."""
+def _marked(words: list[str]) -> pa.ListArray:
+    """The UTF-8 bytes of each word between MARKS."""
+    column = pa.array(words, pa.large_string())
+    ends = np.frombuffer(column.buffers()[1], np.int64, len(words) + 1)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8, int(ends[-1]))
+    sizes = np.diff(ends)
+    out = np.full(len(data) + 3 * len(words), MARK, np.int16)
+    out[np.arange(len(data)) + 1 + 3 * np.repeat(np.arange(len(words)), sizes)] = data
+    return pa.ListArray.from_arrays(pa.array((ends + 3 * np.arange(len(words) + 1)).astype(np.int32)), pa.array(out))
+
+
+def cut(docs: DataFrame, pattern: str, stretch: int = STRETCH, most_words: int = MOST_WORDS) -> DataFrame:
+    """Stretches of rows: their doc ids, where each text's words end in `order`, the numbers of the words, and the words that
+    are new. Numbers count the task's distinct words, from 0 again (fresh) once there are most_words of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        words_of = regex.compile(pattern).findall
+        words_of, seen, known = regex.compile(pattern).findall, defaultdict(), 0
+        seen.default_factory = seen.__len__
         for batch in batches:
             for at, texts in _stretches(batch.column(1), stretch):
-                seen: defaultdict[str, int] = defaultdict()
-                seen.default_factory = seen.__len__
+                if fresh := len(seen) >= most_words:
+                    seen.clear()
+                    known = 0
                 order, ends = array("i"), array("q")
                 for text in texts:
                     order.extend(map(seen.__getitem__, words_of(text)))
@@ -238,16 +251,34 @@ def cut(docs: DataFrame, pattern: str, stretch: int = STRETCH) -> DataFrame:
                     batch.column(0).slice(at, len(texts)),
                     pa.array(np.frombuffer(ends, np.int64)),
                     pa.array(np.frombuffer(order, np.int32)),
-                    pa.array(list(seen), pa.string()),
+                    _marked(list(islice(seen, known, None))),
                 )
+                known = len(seen)
                 columns = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in one]
-                yield pa.RecordBatch.from_arrays(columns, names=["docs", "ends", "order", "words"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([fresh])], names=["docs", "ends", "order", "words", "fresh"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "docs array<long>, ends array<long>, order array<int>, words array<string>")
+    return rows.mapInArrow(run, "docs array<long>, ends array<long>, order array<int>, words array<array<smallint>>, fresh boolean")
+
+
+class Words:
+    """What finish() knows of a task's words, by their numbers."""
+
+    def __init__(self):
+        self.sizes = np.empty(0, np.int32)  # ids of each word
+        self.ids = pa.chunked_array([], pa.list_(pa.int32()))
+        self.texts = pa.chunked_array([], pa.large_string())  # the ids, a space behind each
+        self.bytes = pa.chunked_array([], pa.large_binary())
+
+    def add(self, ids: pa.ListArray, data: pa.Array) -> None:
+        ids = ids.cast(pa.list_(pa.int32()))
+        text = pc.binary_join_element_wise(pc.binary_join(ids.cast(pa.list_(pa.string())), " "), "", " ")
+        self.sizes = np.concatenate([self.sizes, pc.list_value_length(ids).to_numpy(zero_copy_only=False)])
+        for name, more in (("ids", ids), ("texts", text.cast(pa.large_string())), ("bytes", data.cast(pa.large_binary()))):
+            setattr(self, name, pa.chunked_array([pa.concat_arrays([*getattr(self, name).chunks, more])]))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids: bool = False, stretch: int = STRETCH) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids: bool = False, stretch: int = STRETCH, most_words: int = MOST_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, and with_ids their ids as an array."""
 
     def words(fold_one, pieces: Column) -> Column:
@@ -257,35 +288,35 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids:
     folded = _let(pieces(ranks), lambda p: _with(rank_map(ranks), lambda fold_one: words(fold_one, p)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def digests(column: pa.Array, order: pa.Array, cuts: np.ndarray, less: int) -> list[str]:
+        def digests(column: pa.ChunkedArray, order: pa.Array, cuts: np.ndarray, less: int) -> list[str]:
             """Of each document's words one after another, without the last `less` bytes."""
-            taken = column.take(order)
+            taken = column.take(order).combine_chunks()
+            taken = taken if isinstance(taken, pa.Array) else pa.concat_arrays(taken.chunks or [pa.array([], column.type)])
             at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][cuts].tolist()
             data = memoryview(taken.buffers()[2] or b"")
             return [hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(at, at[1:])]
 
+        spelt = Words()
         for batch in batches:
             for row in range(batch.num_rows):
-                doc, ends, order, known = (batch.column(c)[row].values for c in ("docs", "ends", "order", "words"))
+                doc, ends, order, new = (batch.column(c)[row].values for c in ("docs", "ends", "order", "words"))
+                spelt = Words() if batch.column("fresh")[row].as_py() else spelt
+                spelt.add(pc.struct_field(new, "ids"), pc.struct_field(new, "bytes"))
                 cuts = np.concatenate([[0], ends.to_numpy()])
-                ids, data = pc.struct_field(known, "ids"), pc.struct_field(known, "bytes")
-                text = pc.binary_join(ids.cast(pa.list_(pa.string())), " ")
-                text = pc.binary_join_element_wise(text, "", " ").cast(pa.large_string())
-                sizes = pc.list_value_length(ids).take(order).to_numpy(zero_copy_only=False)
-                tokens = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[cuts]
+                tokens = np.concatenate([[0], np.cumsum(spelt.sizes[order.to_numpy()], dtype=np.int64)])[cuts]
                 columns = [
                     doc,
                     pa.array(np.diff(tokens)),
-                    pa.array(digests(text, order, cuts, 1), pa.string()),
-                    pa.array(digests(data.cast(pa.large_binary()), order, cuts, 0), pa.string()),
+                    pa.array(digests(spelt.texts, order, cuts, 1), pa.string()),
+                    pa.array(digests(spelt.bytes, order, cuts, 0), pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), ids.take(order).flatten()))
+                    columns.append(pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), spelt.ids.take(order).combine_chunks().flatten()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = cut(docs, pattern, stretch).withColumn("words", folded)
+    rows = cut(docs, pattern, stretch, most_words).withColumn("words", folded)
     return rows.mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
