@@ -39,9 +39,8 @@ from pyspark.sql import functions as F
 
 from keystrata.session import table
 
-#: Stands before and behind the bytes of a word; twice behind, as each part's number depends on the next part.
+#: Stands before and behind the bytes of a word.
 MARK = 256
-MARKS = (MARK, MARK, MARK)
 #: A round of a word with at least so many parts merges its pair in all places; of a shorter one, in the leftmost.
 SHORT = 64
 #: Characters of text in a stretch of rows, about: its distinct words are folded once. A longer document is a stretch of its own.
@@ -124,25 +123,28 @@ def _let(value: Column, body) -> Column:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal that fold() reads: ids of single bytes and of the mark before and behind a word, and the table of pairs."""
+    """The literal that fold() reads: the numbers of pairs of bytes, and the table of pairs of ids."""
     size = max(ranks.values()) + 2
-    row, cells = table_of(merges(ranks), size)
-    single = [ranks[bytes([b])] for b in range(256)]
-    return F.struct(_literal([*single, size - 1], "bigint").alias("single"), _literal(row, "bigint").alias("row"), _literal(cells, "bigint").alias("cells"))
+    pairs = merges(ranks)
+    row, cells = table_of(pairs, size)
+    single = [*(ranks[bytes([b])] for b in range(256)), size - 1]  # the last is MARK
+    first = [(pairs[a, b] << TOKEN) | a if (a, b) in pairs else (1 << 62) | a for a in single for b in single]
+    fields = {"first": first, "row": row, "cells": cells}
+    return F.struct(*(_literal(v, "bigint").alias(k) for k, v in fields.items()))
 
 
 def _with(maps: Column, body) -> Column:
     """body of the function that folds a word; the arrays of the map are taken out of it once."""
-    arrays = lambda m: _let(m["row"], lambda row: _let(m["cells"], lambda cells: _let(m["single"], lambda single: body(lambda w: _fold(w, single, row, cells)))))
+    arrays = lambda m: _let(m["row"], lambda row: _let(m["cells"], lambda cells: _let(m["first"], lambda first: body(lambda w: _fold(w, first, row, cells)))))
     return _let(maps, arrays)
 
 
-def fold(marked: Column, maps: Column) -> Column:
-    """Ids of one word, whose bytes stand between MARKS; maps is what rank_map() returns."""
-    return _with(maps, lambda fold_one: fold_one(marked))
+def fold(byte_pairs: Column, maps: Column) -> Column:
+    """Ids of one word, as byte_pairs() gives its bytes; maps is what rank_map() returns."""
+    return _with(maps, lambda fold_one: fold_one(byte_pairs))
 
 
-def _fold(marked: Column, single: Column, row: Column, cells: Column) -> Column:
+def _fold(byte_pairs: Column, first: Column, row: Column, cells: Column) -> Column:
     """By ranked merges over the bytes; an empty word has no ids.
 
     The state is one number for each part: above its id stands the token that it and the next part
@@ -157,7 +159,8 @@ def _fold(marked: Column, single: Column, row: Column, cells: Column) -> Column:
         return cell.bitwiseXOR(a * F.lit((1 << LEFT) + 1))
 
     def linked(ids: Column) -> Column:
-        return F.transform(ids, lambda x, i: link(x, F.get(ids, i + 1)))
+        """Numbers of all ids but the last."""
+        return F.array_compact(F.transform(ids, lambda x, i: link(x, F.get(ids, i + 1))))
 
     def once(s: Column, at: Column, token: Column) -> Column:
         """The pair at a place (from 1) merged; two numbers change."""
@@ -171,7 +174,7 @@ def _fold(marked: Column, single: Column, row: Column, cells: Column) -> Column:
 
         def parts(at: Column) -> Column:
             here = lambda x, i: F.when(F.get(at, i) == "1", token).when(F.coalesce(F.get(at, i - 1), F.lit("0")) == "0", x.bitwiseAND(mask))
-            return F.concat(F.array_compact(F.transform(s, here)), F.array(F.get(single, F.lit(MARK))))
+            return F.concat(F.array_compact(F.transform(s, here)), F.array(F.get(s, F.lit(0)).bitwiseAND(mask)))  # a mark again
 
         return _let(_let(_characters(F.replace(hits, F.lit("11"), F.lit("10"))), parts), linked)
 
@@ -181,14 +184,13 @@ def _fold(marked: Column, single: Column, row: Column, cells: Column) -> Column:
         return F.when(F.size(s) < F.lit(SHORT), one).otherwise(everywhere(s, least, token))
 
     def step(s: Column, _: Column) -> Column:
-        done = F.concat(F.array(F.lit(-1).cast("bigint")), F.slice(s, F.lit(2), rest))  # rounds after the last look at one number only
+        done = F.flatten(F.array(F.array(F.lit(-1).cast("bigint")), F.slice(s, F.lit(2), rest)))  # rounds after the last look at one number only
         more = _let(F.array_min(s), lambda least: F.when(least >= F.lit(1 << LEFT), done).otherwise(merged(s, least)))
         return F.when(F.get(s, F.lit(0)) < 0, s).otherwise(more)
 
-    ids = F.transform(marked, lambda b: F.get(single, b))
-    rounds = F.sequence(F.lit(len(MARKS) + 2), F.greatest(F.size(marked), F.lit(len(MARKS) + 2)))
-    inner = lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - len(MARKS)), lambda x: x.bitwiseAND(mask).cast("int"))
-    return F.aggregate(rounds, _let(ids, linked), step, inner)
+    rounds = F.sequence(F.lit(4), F.greatest(F.size(byte_pairs), F.lit(4)))
+    inner = lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(mask).cast("int"))
+    return F.aggregate(rounds, F.transform(byte_pairs, lambda p: F.get(first, p)), step, inner)
 
 
 def pieces(ranks: dict[bytes, int]) -> Column:
@@ -218,15 +220,17 @@ def _stretches(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
         at = to
 
 
-def _marked(words: list[str]) -> pa.ListArray:
-    """The UTF-8 bytes of each word between MARKS."""
+def byte_pairs(words: list[str]) -> pa.ListArray:
+    """The adjacent bytes of each word's UTF-8 as numbers a * 257 + b, MARK before them and two MARKs behind."""
     column = pa.array(words, pa.large_string())
     ends = np.frombuffer(column.buffers()[1], np.int64, len(words) + 1)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8, int(ends[-1]))
-    sizes = np.diff(ends)
-    out = np.full(len(data) + 3 * len(words), MARK, np.int16)
-    out[np.arange(len(data)) + 1 + 3 * np.repeat(np.arange(len(words)), sizes)] = data
-    return pa.ListArray.from_arrays(pa.array((ends + 3 * np.arange(len(words) + 1)).astype(np.int32)), pa.array(out))
+    marked = np.full(len(data) + 3 * len(words) + 1, MARK, np.int32)
+    marked[np.arange(len(data)) + 1 + 3 * np.repeat(np.arange(len(words)), np.diff(ends))] = data
+    pairs = marked[:-1] * (MARK + 1) + marked[1:]
+    last = ends[1:] + 3 * np.arange(1, len(words) + 1) - 1  # the second MARK and the next word's first
+    offsets = (ends + 2 * np.arange(len(words) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.delete(pairs, last)))
 
 
 def cut(docs: DataFrame, pattern: str, stretch: int = STRETCH, most_words: int = MOST_WORDS) -> DataFrame:
@@ -251,14 +255,14 @@ def cut(docs: DataFrame, pattern: str, stretch: int = STRETCH, most_words: int =
                     batch.column(0).slice(at, len(texts)),
                     pa.array(np.frombuffer(ends, np.int64)),
                     pa.array(np.frombuffer(order, np.int32)),
-                    _marked(list(islice(seen, known, None))),
+                    byte_pairs(list(islice(seen, known, None))),
                 )
                 known = len(seen)
                 columns = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in one]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([fresh])], names=["docs", "ends", "order", "words", "fresh"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "docs array<long>, ends array<long>, order array<int>, words array<array<smallint>>, fresh boolean")
+    return rows.mapInArrow(run, "docs array<long>, ends array<long>, order array<int>, words array<array<int>>, fresh boolean")
 
 
 class Words:
