@@ -44,7 +44,7 @@ MARK = 256
 #: A round of a word with at least so many parts merges its pair in all places; of a shorter one, in the leftmost.
 SHORT = 64
 #: Characters of text in a stretch of rows, about: its distinct words are folded once. A longer document is a stretch of its own.
-STRETCH = 1_500_000
+STRETCH = 2_000_000
 #: Words that a task remembers at most, and those of one stretch more; a word met again after that is folded again.
 MOST_WORDS = 350_000
 #: A part's number in the fold: its id, from bit TOKEN on the token of its pair, from bit LEFT on what must be zero.
@@ -163,10 +163,10 @@ def _fold(byte_pairs: Column, first: Column, row: Column, cells: Column) -> Colu
         return F.array_compact(F.transform(ids, lambda x, i: link(x, F.get(ids, i + 1))))
 
     def once(s: Column, at: Column, token: Column) -> Column:
-        """The pair at a place (from 0) merged; two numbers change."""
-        before, after = (F.get(s, at + k).bitwiseAND(mask) for k in (-1, 2))
+        """The pair at a place (from 1) merged; two numbers change."""
+        before, after = (F.get(s, at + k).bitwiseAND(mask) for k in (-2, 1))
         new = F.array(link(before, token), link(token, after))
-        return F.flatten(F.array(F.slice(s, F.lit(1), at - 1), new, F.slice(s, at + 3, rest)))
+        return F.flatten(F.array(F.slice(s, F.lit(1), at - 2), new, F.slice(s, at + 2, rest)))
 
     def everywhere(s: Column, token: Column) -> Column:
         """All pairs that merge to the token merged; where they overlap (aaa), every other one of a run."""
@@ -180,13 +180,10 @@ def _fold(byte_pairs: Column, first: Column, row: Column, cells: Column) -> Colu
 
     def step(s: Column, _: Column) -> Column:
         done = F.flatten(F.array(F.array(F.lit(-1).cast("bigint")), F.slice(s, F.lit(2), rest)))  # rounds after the last look at one number only
-        # The least pair and its place in one number, as a search for the place would be dearer.
-        placed = F.transform(s, lambda x, i: x.bitwiseAND(F.lit(~ID_MASK)).bitwiseOR(i.cast("bigint")))
-        one = lambda least: _let(least.bitwiseAND(mask).cast("int"), lambda at: once(s, at, F.shiftright(least, TOKEN)))
-        all_ = lambda least: everywhere(s, F.shiftright(least, TOKEN))
-        unless_done = lambda merged: lambda least: F.when(least >= F.lit(1 << LEFT), done).otherwise(merged(least))
-        short, long = _let(F.array_min(placed), unless_done(one)), _let(F.array_min(s), unless_done(all_))
-        return F.when(F.get(s, F.lit(0)) < 0, s).when(F.size(s) < F.lit(SHORT), short).otherwise(long)
+        one = lambda least: _let(F.array_position(s, least).cast("int"), lambda at: once(s, at, F.shiftright(least, TOKEN)))
+        merged = lambda least: F.when(F.size(s) < F.lit(SHORT), one(least)).otherwise(everywhere(s, F.shiftright(least, TOKEN)))
+        more = _let(F.array_min(s), lambda least: F.when(least >= F.lit(1 << LEFT), done).otherwise(merged(least)))
+        return F.when(F.get(s, F.lit(0)) < 0, s).otherwise(more)
 
     rounds = F.sequence(F.lit(4), F.greatest(F.size(byte_pairs), F.lit(4)))
     inner = lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(mask).cast("int"))
@@ -261,7 +258,6 @@ def cut(docs: DataFrame, pattern: str, stretch: int = STRETCH, most_words: int =
                 del texts
                 columns = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in one]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([fresh])], names=["docs", "ends", "order", "words", "fresh"])
-                pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "docs array<long>, ends array<long>, order array<int>, words array<array<int>>, fresh boolean")
@@ -321,7 +317,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), spelt.ids.take(order).combine_chunks().flatten()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-                pa.default_memory_pool().release_unused()
 
     rows = cut(docs, pattern, stretch, most_words).withColumn("words", folded)
     return rows.mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
