@@ -1,15 +1,18 @@
 """Line dedup, quality rules, secrets, toxicity, URL filter and chat format on small and odd inputs."""
 
 import base64
+import dataclasses
 import hashlib
 import json
 import os
 import re
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import chat, line_dedup, quality, registry, secrets, toxicity, url_filter
 from keystrata.session import table
@@ -180,13 +183,76 @@ def test_scan_finds_nothing_twice():
 
 
 def test_grammar_contexts():
-    g = toxicity.Grammar({"idiot": 0.95})
+    g = toxicity.Grammar({"idiot": 5.0})
     plain, negated, quoted = g.score("what an idiot"), g.score("she is not an idiot"), g.score('he said that an "idiot" spoke')
     assert plain >= 0.7 > negated > g.score("nothing here") and plain > quoted
     assert g.score("you idiot") > plain and g.score("") == pytest.approx(g.base)
     assert g.score("I will kill you") > g.score("kill the process")
 
 
+def test_transducers_compose():
+    said, menace = toxicity.reported(), toxicity.threat()
+    both = toxicity.compose(said, menace)
+    state, written = both.start, []
+    for symbol in ("report", "intent", "threat", "end", "intent", "other", "threat", "threat"):
+        state, out, _ = both.step(state, symbol)
+        written.append(out)
+    assert written == ["report", "intent", "menace/said", "end", "intent", "other", "menace", "menace"]
+    assert len(toxicity.grammar_of().states()) > max(len(make().states()) for make in toxicity.PARTS.values())
+    # Composition is associative: the same path, written and weighed alike.
+    one = toxicity.compose(toxicity.compose(said, toxicity.negated()), menace)
+    two = toxicity.compose(said, toxicity.compose(toxicity.negated(), menace))
+    s, t = one.start, two.start
+    for symbol in ("quote", "negation", "insult", "intent", "threat", "quote", "threat", "end", "insult"):
+        (s, *x), (t, *y) = one.step(s, symbol), two.step(t, symbol)
+        assert x == y
+
+
+def _sentences():
+    """(sentence, toxic): insults that negation, reported speech and quotes take back, menaces that need an intent, and mild words that need a target."""
+    insults, mild, out = ("scumbag", "vermin", "halfwit"), ("slowcoach", "layabout"), []
+    for i in range(600):
+        x, m = insults[i % 3], mild[i % 2]
+        out += [(f"such a {x} here", 1), (f"never a {x} here", 0), (f"somebody said {x} here", 0)]
+        out += [("we will strangle it", 1), ("how to kill processes", 0), (f"you {m} there", 1)]
+        out += [(f"one {m} there", 0)] if i % 5 == 0 else []
+        out += [("we will rest, such a thing is here and there with it", 0)] * 2
+    letters = lambda k: "".join(chr(97 + k // 26**e % 26) for e in range(3))
+    places = ("river", "mill", "harbour", "boat", "quay", "lamp")
+    return [(f"{text}. " + " ".join(letters(k) + x for x in places), y) for k, (text, y) in enumerate(out)]
+
+
+def test_each_transducer_changes_held_out_predictions(spark):
+    rows = _sentences()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], DOC)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    held = [(t, y) for i, (t, y) in enumerate(rows) if zlib.crc32(str(i).encode()) % 3 == 1]
+    train = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    grammar = toxicity.learn(docs, train)
+    predict = lambda g: [g.score(t) >= 0.7 for t, _ in held]
+    whole = predict(grammar)
+    right = [p == (y == 1) for p, (_, y) in zip(whole, held)]
+    assert sum(right) / len(right) > 0.9
+    for part in toxicity.PARTS:
+        less = dataclasses.replace(grammar, parts=tuple(p for p in toxicity.PARTS if p != part))
+        changed = [p != q for p, q in zip(whole, predict(less))]
+        assert any(changed), part
+        assert sum(p == (y == 1) for p, (_, y) in zip(predict(less), held)) < sum(right), part
+
+
+def test_toxicity_query_against_plain_python(spark):
+    """The query's rows are the grammar's scores of whole texts, and the held-out rows those of the remainder."""
+    d = "/root/testdata/sf0.001"
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    labels = table(spark, d, "labels").where(~toxicity._held_out(F.col("doc_id")))
+    grammar = toxicity.learn(table(spark, d, "documents"), labels)
+    texts = {r.doc_id: r.text or "" for r in table(spark, d, "documents").collect()}
+    rows = registry.queries()["op7_toxicity"](spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.held_out == held(r.doc_id) and r.score == pytest.approx(grammar.score(texts[r.doc_id])) and r.predicted == int(r.score >= 0.7)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     rows = {r.doc_id: r for r in registry.queries()["op7_toxicity"](spark, d).collect()}
