@@ -44,7 +44,7 @@ MARK = 256
 #: A round of a word with at least so many parts merges its pair in all places; of a shorter one, in the leftmost.
 SHORT = 64
 #: Characters of text in a stretch of rows, about: its distinct words are folded once. A longer document is a stretch of its own.
-STRETCH = 2_000_000
+STRETCH = 1_500_000
 #: Words that a task remembers at most, and those of one stretch more; a word met again after that is folded again.
 MOST_WORDS = 350_000
 #: A part's number in the fold: its id, from bit TOKEN on the token of its pair, from bit LEFT on what must be zero.
@@ -317,6 +317,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), spelt.ids.take(order).combine_chunks().flatten()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                pa.default_memory_pool().release_unused()
 
     rows = cut(docs, pattern, stretch, most_words).withColumn("words", folded)
     return rows.mapInArrow(finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
