@@ -12,7 +12,7 @@ documents share. Only built-in expressions are used.
 Null texts stay null; empty texts and those with fewer than three lines that aren't blank stay as
 they are. A document is known by its id and text: rows that agree in both (a null id is the
 smallest) are one document and are treated alike, so repeated rows don't remove each other's lines.
-Columns besides id and text pass through; their names may not begin with `_ld_`.
+Columns besides id and text pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,15 +63,16 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     start = F.when(same, F.greatest(F.col("k"), F.col("first.k") + WINDOW)).otherwise(F.col("k"))
     later = again.where(~(same & (F.col("k") == F.col("first.k")))).select("_ld_id", "_ld_text", start.alias("start"), "k")
     gone = F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("k") + WINDOW - 1))))
-    return later.groupBy("_ld_id", "_ld_text").agg(gone.alias("_ld_gone"))
+    # Distinct, so that of many equal rows of one document only one document's windows are gathered.
+    return later.distinct().groupBy("_ld_id", "_ld_text").agg(gone.alias("_ld_gone"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs without the lines of repeated windows, in the same columns (and the number of removed lines, if named)."""
     gone = removals(docs, id_col=id_col, text_col=text_col)
-    keyed = docs.select("*", *_key(id_col, text_col))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *_key(id_col, text_col))
     joined = keyed.join(gone.hint("shuffle_hash"), ["_ld_id", "_ld_text"], "left")
-    text = F.col(text_col)
+    text = F.col("row")[text_col]
 
     all_lines = F.split(text, "\n")
     filled = _filled(text)
@@ -79,7 +80,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), removed)
     left = F.get(F.transform(F.array(all_lines), lambda a: F.array_join(F.transform(stay, lambda i: F.coalesce(F.get(a, i), F.lit(""))), "\n")), F.lit(0))
     changed = F.when(F.col("_ld_gone").isNull(), text).otherwise(left)
-    columns = [changed.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    columns = [(changed if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
     if count_col:
         columns.append(F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias(count_col))
     return joined.select(*columns)

@@ -226,24 +226,27 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents with sequence_id and offset (gapless from 0 in each sequence).
 
-    most_docs and most_cost default to what `capacity` tokens can hold at most. The pieces are
+    most_docs and most_cost default to what `capacity` tokens can hold at most, so they only bind where
+    they are given; their residuals count in the score in any case. The pieces are
     written once to the shared folder, as they are needed for the histogram and for the result.
     """
     spark = docs.sparkSession
-    own = written(pieces(docs, tokenizer_path, capacity=capacity, with_ids=with_ids))
+    found = pieces(docs, tokenizer_path, capacity=capacity, with_ids=with_ids)
+    # A number of its own for each row, stored with it, spreads rows that are equal in all else.
+    own = written(found.withColumn("nth", F.monotonically_increasing_id()))
     lengths = {r["length"]: r["n"] for r in own.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `capacity` rows at most
     steps = plan(lengths, capacity, most_docs or capacity, most_cost or float(capacity) ** 2, weights, score)
     salts = max(64, sum(lengths.values()) // rows_per_salt)
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("nth"), F.lit(salts)))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
     ranked = salted.withColumn("number", number).join(base, ["length", "salt"])
-    ranked = ranked.select(*own.columns, (F.col("base") + F.col("number") - 1).alias("rank"))
+    ranked = ranked.select(*found.columns, (F.col("base") + F.col("number") - 1).alias("rank"))
     sent = spark.sparkContext.broadcast(_by_length(steps))  # bounded by lengths times states, not by rows
-    kept = own.columns
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    kept = found.columns
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans = sent.value

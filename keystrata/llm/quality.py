@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, **op
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))  # `most` rows, so the bound is known
     got = rows.where(~base_failed(F.col("stats"))).select("doc_id", "quality", *(F.col(f"stats.{n}") for n in STATISTICS))
-    data = sorted(got.limit(most).collect(), key=lambda r: tuple(r))
+    # Repeated ids could exceed `most`: which rows count must not depend on scheduling.
+    data = sorted(got.orderBy(F.xxhash64(*got.columns), *got.columns).limit(most).collect(), key=lambda r: tuple(r))
     if not data:
         return []
     x = np.array([[float(v) for v in r[2:]] for r in data])

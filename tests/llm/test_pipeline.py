@@ -105,3 +105,31 @@ def test_stages_take_odd_tables(spark):
         packed = pipeline.STAGES[-1][1](spark, now, DIR)
         assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in now.collect()}
     assert pipeline.ORACLE_SQL is None
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use inside, repeated ids with other texts, and null ids."""
+    import corpus_pipeline
+
+    line = "one two three four five six seven eight nine ten eleven twelve number"
+    texts = [(1, f"{line} a{i}x b{i}y") for i in range(3)] + [(1, f"{line} a0x b0y"), (2, None), (None, "no id"), (None, "no id")]
+    names = ("_ld_id", "_ld_text", "_nth", "_text", "_row", "nth", "id", "whole", "row", "spread", "stats", "group")
+    df = spark.createDataFrame([(d, t, *range(len(names))) for d, t in texts], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    for stage in (corpus_pipeline.line_stage, corpus_pipeline.near_duplicate_stage, corpus_pipeline.secret_stage):
+        out = stage(spark, df, DIR)
+        assert out.columns == df.columns
+        assert all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
+    kept = corpus_pipeline.near_duplicate_stage(spark, df, DIR).collect()
+    assert sum(r.doc_id is None for r in kept) == 2 and {r.text for r in kept if r.doc_id == 2} == {None}
+    assert all(fingerprint(x.text or "") != fingerprint(y.text or "") for i, x in enumerate(kept) for y in kept[:i] if x.doc_id and y.doc_id)
+
+
+def test_equal_rows_without_ids_are_packed_apart(spark):
+    import public_tokenizers
+
+    from keystrata.llm import packing
+
+    df = spark.createDataFrame([(None, "the same words")] * 300, "doc_id long, text string")
+    rows = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), rows_per_salt=10).collect()
+    places = {(r.sequence_id, r.offset) for r in rows}
+    assert len(rows) == len(places) == 300
