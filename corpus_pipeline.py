@@ -38,17 +38,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Links are between texts, as one id may be on rows of different texts. Of repeated rows one stays.
     """
-    named = docs.where("doc_id is not null").withColumn("_text", F.xxhash64("text")).withColumn("_row", F.xxhash64(*docs.columns))
-    fps = written(simhash.fingerprints(named.select(F.col("_text").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_text").distinct())
-    first = named.groupBy("_text").agg(F.min(F.struct("doc_id", "_row")).alias("c")).select("_text", "c.*")
-    found = components(simhash.links(fps.select("fp", F.col("fp").alias("rep")).distinct()))
-    texts = fps.join(first, "_text").join(found, fps["fp"] == found["id"], "left").withColumn("_group", F.coalesce("component", "fp"))
-    key = ["doc_id", "_text", "_row"]
-    chosen = texts.groupBy("_group").agg(F.min(F.struct(*key)).alias("c")).select("c.*")
+    row = F.struct(*docs.columns)
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(row).alias("whole"), row.alias("row"))
+    texts = named.select(F.col("text").alias("doc_id"), F.col("row.text").alias("text"))
+    fps = written(simhash.fingerprints(texts).withColumnRenamed("doc_id", "text").distinct())
+    key = ["id", "text", "whole"]
+    first = named.groupBy("text").agg(F.min(F.struct("id", "whole")).alias("c")).select("text", "c.*")
+    found = components(simhash.links(fps.select("fp", F.col("fp").alias("rep")).distinct())).withColumnRenamed("id", "fp")
+    groups = fps.join(first, "text").join(found, "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    chosen = groups.groupBy("group").agg(F.min(F.struct(*key)).alias("c")).select("c.*")
     named = named.join(chosen, key, "left_semi")
     # In the order of the join, so that whole texts are not sorted again.
-    named = named.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(*key))).where("_nth = 1")
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    named = named.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*key))).where("nth = 1")
+    return named.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
