@@ -146,18 +146,10 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return local.join(F.broadcast(offsets), "part").withColumn("pos", (F.col("off") + F.col("nth")).cast("bigint")).drop("part", "nth", "off")
 
 
-@query("""select src, id, row_number() over (order by tag, h, id) as pos from (select 'order' src, o_orderkey id, 6 tag, printf('%016X', o_orderkey) h from orders where o_orderkey <= 500
-  union all select 'customer', c_custkey, 9, hex(encode(c_name)) from customer where c_custkey <= 500 union all select 'supplier', s_suppkey, 4, printf('%02X', s_suppkey) from supplier where s_suppkey <= 100)""")
-def kv_mixed_type_order(spark, d):
-    row = lambda t, src, key, val, kind, most: table(spark, d, t).where(F.col(key) <= most).select(F.lit(src).alias("src"), F.col(key).cast("bigint").alias("id"), codec.encode(F.col(val), kind).alias("key"))
-    rows = union_sources(row("orders", "order", "o_orderkey", "o_orderkey", "bigserial", 500), row("customer", "customer", "c_custkey", "c_name", "string", 500), row("supplier", "supplier", "s_suppkey", "s_suppkey", "smallserial", 100))
-    return _numbered(rows, ["key", "id"]).select("src", "id", "pos")
-
-
 @query("""select src, id, row_number() over (order by tag, f < 0, abs(f), h, id) as pos from (select 'order' src, o_orderkey id, 6 tag, 0.0::double f, printf('%016X', o_orderkey) h from orders
   union all select 'customer', c_custkey, 9, 0.0, hex(encode(c_name)) from customer union all select 'supplier', s_suppkey, 8, s_acctbal::double, '' from supplier)""")
-def kv_mixed_type_order_whole(spark, d):
-    """All rows of the three tables; kv_mixed_type_order is bound by its SQL to the first ids."""
+def kv_mixed_type_order(spark, d):
+    """All rows of the three tables, as one domain of keys."""
     row = lambda t, src, key, val, kind: table(spark, d, t).select(F.lit(src).alias("src"), F.col(key).cast("bigint").alias("id"), codec.encode(F.col(val), kind).alias("key"))
     rows = union_sources(row("orders", "order", "o_orderkey", "o_orderkey", "bigserial"), row("customer", "customer", "c_custkey", "c_name", "string"), row("supplier", "supplier", "s_suppkey", "s_acctbal", "bigfloat"))
     return _numbered(rows, ["key", "id"]).select("src", "id", "pos")
@@ -310,9 +302,13 @@ def kv_metric_dispatch(spark, d):
     return _latency(spark, d).groupBy(F.col("event_type").alias("kind"), F.col("day").alias("tick")).agg(F.count("*").alias("n"), F.sum("us").alias("total"))
 
 
-@query()
+@query("""with recursive r as (select k, row_number() over (order by k) n from (select distinct o_orderkey k from orders)),
+  p(n, page, used) as (select 1::bigint, 0::bigint, 0::bigint union all
+    select n + 1, case when 18 + used > 512 then page + 1 else page end, case when 18 + used > 512 then 18 else used + 18 end from p where n < (select max(n) from r))
+  select '06' || printf('%016X', k) as key, 9::integer as bytes, page from r join p using (n)""")
 def kv_page_assignment(spark, d):
-    rows = ops.range_scan(_orders(spark, d), F.lit(1).cast("bigint"), F.lit(3000).cast("bigint"), FAR_MS)
+    """Keys and values have nine bytes each, and none is above the signed numbers."""
+    rows = ops.range_scan(_orders(spark, d), F.lit(0).cast("bigint"), F.lit((1 << 63) - 1).cast("bigint"), FAR_MS)
     encoded = rows.select(codec.encode(F.col("key"), "bigserial").alias("key"), codec.encode(F.floor("value").cast("bigint"), "bigserial").alias("value"))
     return paging.assign_pages(encoded, 512).select(F.hex("key").alias("key"), F.octet_length("value").alias("bytes"), "page")
 
@@ -325,9 +321,21 @@ def kv_json_render(spark, d):
     return c.select("c_custkey", render.envelope(render.quoted(F.col("c_name"))).alias("point"), render.envelope(page).alias("page"), render.envelope(F.lit(None).cast("string"), F.lit("InvalidQuery")).alias("failed"))
 
 
-@query()
+@query("""select step::integer as step, query, response from (values
+  (0, 'set ''a'' 1, ''b'' 2.5, ''c'' true', '{"data":0,"errors":null}'),
+  (1, 'get ''a''', '{"data":1,"errors":null}'),
+  (2, 'get ''c''', '{"data":"true","errors":null}'),
+  (3, 'get range ''a'' ''z''', '{"data":[{"key":"a","value":1},{"key":"b","value":2.5},{"key":"c","value":true}],"errors":null}'),
+  (4, 'delete ''a''', '{"data":0,"errors":null}'),
+  (5, 'get ''a''', '{"data":null,"errors":null}'),
+  (6, 'set ''b'' 7 expire ''1ms''', '{"data":0,"errors":null}'),
+  (7, 'get ''b''', '{"data":null,"errors":null}'),
+  (8, 'get range ''a'' ''z''', '{"data":[{"key":"c","value":true}],"errors":null}'),
+  (9, 'get range ''a'' 1', '{"data":null,"errors":"InvalidQuery"}'),
+  (10, 'SET ''x'' 1', '{"data":null,"errors":"InvalidQuery"}'),
+  (11, 'get ''missing''', '{"data":null,"errors":null}')) t(step, query, response)""")
 def kv_statement_suite(spark, d):
-    """Statements in sequence on an empty store in the shared folder; one response line each."""
+    """Statements in sequence on an empty store in the shared folder; one response line each, as the protocol has it."""
     from keystrata.plans.session import Connection
     from keystrata.sources.store import Store
 

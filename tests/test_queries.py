@@ -10,7 +10,6 @@ from keystrata.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SEQUENTIAL = {"kv_page_assignment", "kv_statement_suite"}  # folds, which SQL can't express
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +35,8 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
-def test_all_queries_have_sql_but_folds():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == SEQUENTIAL
+def test_all_queries_have_sql():
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 
 
 def test_entry(spark):

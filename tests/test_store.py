@@ -28,7 +28,7 @@ def test_tokens():
     assert [t.kind for t in lang.tokenize("1234 -12.34")] == ["number", "number"]
     assert [t.kind for t in lang.tokenize("'test'")] == ["string"]
     assert [t.kind for t in lang.tokenize("true FALSE")] == ["bool", "bool"]
-    assert len(lang.tokenize("set 'test' 4, 'another test' 12.45, 'falsy' false")) == 9
+    assert len(lang.tokenize("set 'lamp' 4, 'two words' 12.45, 'off' false")) == 9
     assert lang.tokenize("'open")[0].text == "open"
     assert lang.tokenize("''") == []
     with pytest.raises(lang.QueryError) as e:
@@ -47,8 +47,8 @@ def test_literals():
 
 
 def test_statements():
-    put = lang.parse("set 'test' 4 expire '10s', 'other' 12.45 expire '500ms' 'falsy' false expire '987'")
-    assert [(p[0].value, p[2]) for p in put.pairs] == [("test", 10000), ("other", 500), ("falsy", 987)]
+    put = lang.parse("set 'lamp' 4 expire '10s', 'desk' 12.45 expire '500ms' 'off' false expire '987'")
+    assert [(p[0].value, p[2]) for p in put.pairs] == [("lamp", 10000), ("desk", 500), ("off", 987)]
     assert lang.parse("get range 'a' 'z'").high.value == "z"
     assert lang.parse("set") == lang.Put(())
     for bad in ("get range 'a' 123", "SET 'a' 1", "get", "set 'a'", "set 'a' 1 expire 5", "what 'a'", "   "):
@@ -152,9 +152,54 @@ def test_point_predicate_is_pushed_to_runs(spark, tmp_path):
     store = Store(spark, str(tmp_path / "kv"))
     store.flush(log(spark, [(key(i), b"\x04\x01", 1, i, None) for i in range(100)]), 1)
     p = visible(store.log(key(5)), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key" in p and "ThanOrEqual(key" not in p  # what a Bloom filter can answer
+    p = visible(store.log(key(5), key(6)), 1)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(key" in p and "LessThanOrEqual(key" in p
 
 
+def test_delta_rotates_by_size_and_survives(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "kv"), delta_bytes=1 << 30)
+    first, second = Connection(store), Connection(store)
+    for i in range(3):
+        first.execute(f"set 'k{i}' {i}", 1_000_000)
+    first.execute("set 'same' 1", 2_000_000)
+    second.execute("set 'same' 2", 2_000_000)  # the same microsecond: the later statement wins
+    assert store.live().count() == 0 and json.loads(first.execute("get 'same'", 3_000_000))["data"] == 2
+    again = Store(spark, str(tmp_path / "kv"), delta_bytes=1)
+    assert visible(again.log(), 3_000).count() == 4  # replayed from the delta
+    Connection(again).execute("delete 'k0'", 4_000_000)
+    assert again.live().count() == 1 and not again._delta() and again.sum_records() == 4
+    assert visible(again.log(), 5_000).count() == 3
+    Connection(again).execute("set 'k0' 7", 4_000_000)  # numbers go on behind those of an emptied delta
+    assert json.loads(first.execute("get 'k0'", 5_000_000))["data"] == 7
+
+
+def test_writers_never_share_a_run(spark, tmp_path):
+    one, two = (Store(spark, str(tmp_path / "kv")) for _ in range(2))
+    assert [one._claim("run-0", 0), two._claim("run-0", 0), one._claim("run-0", 0)] == [0, 1, 2]
+
+
+def test_cleanup_waits_for_cursors(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "kv"), fan_in=2, threshold=2, delta_bytes=1)
+    c = Connection(store, page_bytes=10)
+    for i in range(2):
+        c.execute(f"set 'k{i}' {i}, 'm{i}' {i}", 1_000_000 + i)
+    c.execute("get range 'a' 'z'", 2_000_000)
+    assert store.compact(1, 3_000_000) == 1 and store.cleanup(4_000_000) == 0
+    seen = []
+    while page := json.loads(c.next_page())["data"]:
+        seen += page
+    assert seen and store.cleanup(5_000_000) == 2
+
+
+def test_last_merge_drops_expired_versions(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "kv"), fan_in=2, threshold=2, delta_bytes=1)
+    c = Connection(store)
+    c.execute("set 'old' 1 expire '1ms'", 1_000_000)
+    c.execute("set 'new' 1", 1_000_001)
+    assert store.compact(5_000, 9_000_000) == 1 and store.sum_records() == 1
+
+
 def test_partial_compaction_turns_expired_into_tombstones(spark):
     rows = log(spark, [(key(1), b"\x04\x01", 0, 0, 5), (key(2), b"\x04\x01", 0, 1, None)])
     got = {bytes(r.key): r.value for r in maintain.compact(rows, 100).collect()}

@@ -18,10 +18,10 @@ def test_mixed_order_ranks_whole_tables(spark):
     try:
         for k, v in odd.items():
             spark.conf.set(k, v)
-        got = [(r.src, r.id, r.pos) for r in catalogue.queries()["kv_mixed_type_order_whole"](spark, DIR).collect()]
+        got = [(r.src, r.id, r.pos) for r in catalogue.queries()["kv_mixed_type_order"](spark, DIR).collect()]
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(got) == sum(duck.sql(f"select count(*) from {t}").fetchall()[0][0] for t in TABLES)
-    want = duck.sql(catalogue.oracle_sql()["kv_mixed_type_order_whole"])
+    want = duck.sql(catalogue.oracle_sql()["kv_mixed_type_order"])
     assert want.columns == ["src", "id", "pos"] and sorted(got) == sorted(want.fetchall())
