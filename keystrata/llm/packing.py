@@ -16,9 +16,9 @@ each for itself; a null id is kept. An empty table gives an empty result. Other
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -31,18 +31,51 @@ from keystrata.session import table
 
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: A space that isn't followed by a visible character; elsewhere a token never crosses the place before a space.
-ODD = re.compile(r" (?:\s|\Z)")
+
+
+class Words:
+    """Numbered words, and their ids one after another in one array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers, -1 for those that aren't here."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
+    def stretches(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where these words' ids start, and how many they are."""
+        starts = self.ends[numbers]
+        return starts, self.ends[numbers + 1] - starts
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words one after another, and how many each has."""
+        starts, lens = self.stretches(self.numbers(words))
+        return self.ids[_places(starts, lens)], lens
+
+
+def _places(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of stretches of an array, one stretch after another."""
+    ends = np.cumsum(lens)
+    return np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class WordEncoder:
-    """Ids, as little-endian bytes, of whole texts, by a bounded memo of space-led words.
+    """Ids of whole texts, by a bounded memo of space-led words.
 
     The byte-level split starts a token at every space before a visible character, so the words
-    between such spaces encode independently. New words are encoded together in one text and cut
-    apart at the tokens that begin with a space; a comma or full stop after a Latin letter is a token
-    of its own, so those words share their stem's ids. Other texts are encoded as they are. The memo
-    has two generations of at most `most` / 2 words and one batch each; words in use move on.
+    between such spaces encode independently. Arrow cuts a batch of texts into words and finds the
+    distinct ones, which are looked up once each, and the batch's ids are taken from the memo's in one
+    go. New words are encoded together in one text and cut apart at the tokens that begin with a
+    space; a comma or full stop after a Latin letter is a token of its own, so those words share their
+    stem's ids. Texts with a space before a space or an end are encoded as they are. The memo has two
+    generations of at most `most` / 2 words and one batch each; words in use move on.
     """
 
     def __init__(self, path: str, most: int = 800_000):
@@ -55,88 +88,111 @@ class WordEncoder:
         self.led = np.zeros(max(vocab.values()) + 2, bool)
         for token, i in vocab.items():
             self.led[i] = token.startswith("Ġ")
-        self.most, self.memo, self.old = most, {}, {}
-        self.stops = dict(zip(",.", self.whole([",", "."])))
+        self.most, self.memo, self.old = most, Words(), Words()
+        self.stops = {c: x[0] for c, x in zip(",.", self.whole([",", "."]))}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 2000):
-            some = words[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            starts = np.flatnonzero(self.led[ids])
+        ids, lens = [], []
+        for lo in range(0, len(words), 200):  # longer texts take more time for each word
+            some = words[lo : lo + 200]
+            part = np.array(self.whole([" " + " ".join(some)])[0], np.uint32)
+            starts = np.flatnonzero(self.led[part])
             if len(starts) != len(some):  # cannot be: each word holds one space, at its start
                 raise AssertionError("words and tokens disagree")
-            data = ids.tobytes()
-            cuts = [*(starts * 4).tolist(), len(data)]
-            self.memo.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
-
-    def _need(self, words: set[str]) -> None:
-        memo, old = self.memo, self.old
-        new = words.difference(memo)
-        if old:
-            again = new & old.keys()
-            memo.update((w, old[w]) for w in again)
-            new -= again
+            ids.append(part)
+            lens.append(np.diff(starts, append=len(part)))
+        if words:
+            self.memo.add(words, np.concatenate(ids), np.concatenate(lens))
+
+    def _need(self, new: list[str]) -> None:
+        """Put words that aren't in the memo there."""
+        if self.old.number and (again := [w for w in new if w in self.old.number]):
+            self.memo.add(again, *self.old.of(again))
+            new = [w for w in new if w not in self.old.number]
         stopped = [w for w in new if w[-1] in ",." and "A" <= w[-2:-1] < "\u0250" and w[-2].isalpha()]
-        new.difference_update(stopped)
-        stems = {w[:-1] for w in stopped}
-        self._learn([*new, *(stems - memo.keys() - new)])
-        memo.update((w, memo[w[:-1]] + self.stops[w[-1]]) for w in stopped)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(ODD.search(t)) for t in texts]
-        plain = [t.split(" ") for t, x in zip(texts, odd) if not x]
-        firsts = self.whole([p[0] for p in plain])
-        if len(self.memo) > self.most // 2:
-            self.memo, self.old = {}, self.memo
-        self._need({w for p in plain for w in p[1:]})
-        get, strange = self.memo.__getitem__, iter(self.whole([t for t, x in zip(texts, odd) if x]))
-        rest = iter([f + b"".join(map(get, p[1:])) for f, p in zip(firsts, plain)])
-        return [next(strange) if x else next(rest) for x in odd]
-
-
-def _batches(rows: int, texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts together stay near most_bytes."""
-    at = 0
-    sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=float))
-    ends = np.cumsum(sizes)
-    while at < rows:
-        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right"))
-        yield at, max(at + 1, to)
-        at = max(at + 1, to)
+        rest = set(new).difference(stopped)
+        self._learn([*rest, *({w[:-1] for w in stopped} - self.memo.number.keys() - rest)])
+        if stopped:
+            ids, lens = self.memo.of([w[:-1] for w in stopped])
+            self.memo.add(stopped, np.insert(ids, np.cumsum(lens), [self.stops[w[-1]] for w in stopped]), lens + 1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (none null) one after another, and where each text's ids end."""
+        if len(self.memo.number) > self.most // 2:
+            self.memo, self.old = Words(), self.memo
+        split = pa.compute.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy()
+        first, offsets = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        coded = split.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        # Words that follow a space: all but the first of each text.
+        follows = np.ones(len(codes), bool)
+        follows[first] = False
+        used = np.zeros(len(words), bool)
+        used[codes[follows]] = True
+        numbers = self.memo.numbers(words)
+        missing = np.flatnonzero(used & (numbers < 0))
+        new = [words[i] for i in missing.tolist()]
+        odd = {w for w in new if not w or w[0].isspace()}
+        self._need([w for w in new if w not in odd] if odd else new)
+        numbers[missing] = self.memo.numbers(new)
+        numbers = numbers[codes]
+        starts, lens = self.memo.stretches(numbers)
+        strange = np.add.reduceat(follows & (numbers < 0), first) > 0 if len(first) else np.zeros(0, bool)
+        # The first words, and strange texts as a whole, are encoded as they are.
+        heads = self.whole([texts[i].as_py() if x else words[codes[k]] for i, (k, x) in enumerate(zip(first.tolist(), strange.tolist()))])
+        lens[np.repeat(strange, offsets - first)] = 0
+        sizes = np.array([len(h) for h in heads], np.int64)
+        starts[first], lens[first] = len(self.memo.ids) + np.cumsum(sizes) - sizes, sizes
+        pool = np.concatenate([self.memo.ids, np.fromiter((i for h in heads for i in h), np.uint32, sizes.sum())])
+        return pool[_places(starts, lens)], np.cumsum(lens)[offsets - 1]
+
+
+def _batches(texts: pa.Array, most_bytes: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that together stay near most_bytes."""
+    at, ends = 0, np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+        yield at, to
+        at = to
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """One row for each piece of at most `capacity` tokens; only the first piece of a cut document is shorter."""
     schema = PIECES + (", ids binary" if with_ids else "")
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
         cache = worker_cache()
         encoder = cache.get(tokenizer_path) or cache.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
-        end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for lo, hi in _batches(batch.num_rows, batch.column(1)):
-                part = batch.slice(lo, hi - lo)
-                out: list[list] = [[] for _ in range(6)]
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, data in zip(part.column(0).to_pylist(), encoder.encode(texts)):
-                    data += end
-                    n = len(data) // 4
-                    at, k = 0, 0
-                    while at < n:
-                        size = (n % capacity or capacity) if not at else capacity
-                        ids = data[4 * at : 4 * (at + size)]
-                        for column, value in zip(out, (doc, k, at, size, zlib.crc32(ids), ids)):
-                            column.append(value)
-                        at, k = at + size, k + 1
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-                n = 6 if with_ids else 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:n], types)], names=names[:n])
+            texts = pa.compute.fill_null(batch.column(1), "")
+            for lo, hi in _batches(texts):
+                ids, ends = encoder.encode(texts.slice(lo, hi - lo))
+                ids = np.insert(ids, ends, END_ID).astype("<u4", copy=False)
+                sizes = np.diff(ends, prepend=0) + 1
+                n = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                head = sizes - (n - 1) * capacity
+                length = np.where(piece == 0, head[row], capacity)
+                start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
+                to = np.cumsum(length)
+                cuts, data = list(zip(((to - length) * 4).tolist(), (to * 4).tolist())), memoryview(ids.tobytes())
+                columns = [
+                    batch.column(0).slice(lo, hi - lo).take(pa.array(row)),
+                    pa.array(piece, pa.int32()),
+                    pa.array(start),
+                    pa.array(length),
+                    pa.array([zlib.crc32(data[a:b]) for a, b in cuts], pa.int64()),
+                    *([pa.array([bytes(data[a:b]) for a, b in cuts], pa.binary())] if with_ids else []),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
