@@ -27,18 +27,19 @@ def histogram(rows: DataFrame, by: Sequence[str], value: Column, bounds: Sequenc
     return rows.withColumn("bucket", bucket(value, bounds)).groupBy(*by, "bucket").agg(F.count("*").alias("n"))
 
 
-def percentiles(rows: DataFrame, by: Sequence[str], value: Column, bounds: Sequence[int] = BOUNDS) -> DataFrame:
+def percentiles(rows: DataFrame, by: Sequence[str], value: Column, bounds: Sequence[int] = BOUNDS, sums: bool = False) -> DataFrame:
     """p50, p95 and p99 of each group as bucket upper bounds.
 
     The threshold is (total div 100) * p and the first bucket that reaches it counts, so a group of
     fewer than 100 values reports the first bound; the overflow bucket reports the last one. Counts
     of all buckets are conditional sums of one aggregate: no cumulative window, one shuffled row for
-    each group and task.
+    each group and task. With `sums` the values' sum is a column too.
     """
     # Through a generator, so that the bucket is computed once and not in each of the sums.
-    rows = rows.select(*by, F.explode(F.array(bucket(value, bounds))).alias("_bucket"))
+    rows = rows.select(*by, value.alias("_value"), F.explode(F.array(bucket(value, bounds))).alias("_bucket"))
     counted = [F.count(F.when(F.col("_bucket") == i, 1)).alias(f"c{i}") for i in range(len(bounds) + 1)]
-    wide = rows.groupBy(*by).agg(F.count("*").alias("total"), *counted)
+    total = [F.count("*").alias("total"), *([F.sum("_value").alias("sum")] if sums else [])]
+    wide = rows.groupBy(*by).agg(*total, *counted)
     out = []
     for p in PERCENTILES:
         need = F.call_function("div", F.col("total"), F.lit(100)) * p
@@ -47,7 +48,7 @@ def percentiles(rows: DataFrame, by: Sequence[str], value: Column, bounds: Seque
             reach = reach + F.col(f"c{i}")
             pick = pick.when(need <= reach, bounds[i])
         out.append(pick.otherwise(bounds[-1]).cast("bigint").alias(f"p{p}"))
-    return wide.select(*by, "total", *out)
+    return wide.select(*by, "total", *(["sum"] if sums else []), *out)
 
 
 def gauge(rows: DataFrame, by: Sequence[str], order: Sequence[str], change: Column) -> DataFrame:

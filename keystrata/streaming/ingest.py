@@ -32,11 +32,11 @@ def files(spark: SparkSession, folder: str, name: str, schema, per_trigger: int
     return reader.parquet(folder)
 
 
-def snapshots(metrics: DataFrame, ts: str = "ts", value: str = "value", kind: str = "kind", late: str = "10 seconds") -> DataFrame:
+def snapshots(metrics: DataFrame, ts: str = "ts", value: str = "value", kind: str = "kind", late: str = "10 seconds", sums: bool = False) -> DataFrame:
     """Percentiles and counts of each kind in one-second windows; works on streams and tables."""
     rows = metrics.withWatermark(ts, late) if metrics.isStreaming else metrics
     rows = rows.withColumn("tick", F.window(ts, "1 second"))
-    return percentiles(rows, ["tick", kind], F.col(value))
+    return percentiles(rows, ["tick", kind], F.col(value), sums=sums)
 
 
 def latest_with_ttl(spark: SparkSession, log: DataFrame, ttl_ms: int) -> DataFrame:
