@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.functions import codec, render
+from keystrata.functions import codec, records, render
 from keystrata.operators import maintain, ops, stats
 from keystrata.operators.visible import live, resolve, resolve_window, union_sources, visible
-from keystrata.plans import paging
+from keystrata.plans import paging, requests
 from keystrata.plans.catalogue import query
 from keystrata.session import table
 from keystrata.streaming import ingest
@@ -321,6 +321,48 @@ def kv_json_render(spark, d):
     return c.select("c_custkey", render.envelope(render.quoted(F.col("c_name"))).alias("point"), render.envelope(page).alias("page"), render.envelope(F.lit(None).cast("string"), F.lit("InvalidQuery")).alias("failed"))
 
 
+@query("""with v(c_custkey, kind, point, page) as (
+    select c_custkey, 'boolean', '"' || (c_acctbal > 0) || '"', (c_acctbal > 0)::varchar from customer union all
+    select c_custkey, 'int', (-c_custkey)::varchar, (-c_custkey)::varchar from customer union all
+    select c_custkey, 'bigserial', (9223372036854775000::hugeint + c_custkey * 10)::varchar,
+      case when c_custkey * 10 > 807 then '"' || (9223372036854775000::hugeint + c_custkey * 10) || '"' else (9223372036854775000::hugeint + c_custkey * 10)::varchar end from customer union all
+    select c_custkey, 'bigfloat', c_acctbal::varchar, c_acctbal::varchar from customer union all
+    select c_custkey, 'string', '"' || c_mktsegment || '"', '"' || c_mktsegment || '"' from customer)
+  select * from v""")
+def kv_json_by_type(spark, d):
+    """Stored bytes of five types as point answers and pages show them."""
+    c, key = table(spark, d, "customer"), F.col("c_custkey")
+    values = {"boolean": F.col("c_acctbal") > 0, "int": -key, "bigserial": F.lit("9223372036854775000").cast("decimal(20,0)") + key * 10, "bigfloat": F.col("c_acctbal"), "string": F.col("c_mktsegment")}
+    stored = c.select("c_custkey", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), codec.encode(v, k).alias("data")) for k, v in values.items()])).alias("s"))
+    return stored.select("c_custkey", "s.kind", render.point_json(F.col("s.data")).alias("point"), render.range_json(F.col("s.data")).alias("page"))
+
+
+@query("""select c_custkey, '000906' || printf('%016X', c_custkey) || printf('%016X', 1700000000000000 + c_custkey) || case when c_acctbal < 0 then '0000'
+    else printf('%04X', 1 + strlen(c_name)) || case when c_nationkey % 2 = 0 then '01' else '00' end || '09' || hex(c_name) || case when c_nationkey % 2 = 0 then '0000000000001388' else '' end end as record,
+  case when c_acctbal >= 0 then c_name end as value, case when c_acctbal >= 0 and c_nationkey % 2 = 0 then 5000::bigint end as ttl_ms from customer""")
+def kv_raw_records(spark, d):
+    """Customers as raw records, and what is read back from these: deleted ones with no money left, some with a time to live."""
+    c = table(spark, d, "customer")
+    value = F.when(F.col("c_acctbal") >= 0, codec.encode(F.col("c_name"), "string"))
+    ttl = F.when(F.col("c_nationkey") % 2 == 0, F.lit(5000).cast("bigint"))
+    made = c.select(records.to_record(codec.encode(F.col("c_custkey"), "bigserial"), F.lit(1_700_000_000_000_000) + F.col("c_custkey"), value, ttl).alias("record"))
+    r = records.from_records(made, "record")
+    again = records.to_record(F.col("key"), F.col("ts_us"), F.col("value"), F.col("ttl_ms"))
+    return r.select(codec.decode(F.col("key"), "bigserial").cast("bigint").alias("c_custkey"), F.hex(again).alias("record"), codec.decode(F.col("value"), "string").alias("value"), "ttl_ms")
+
+
+@query("""select o_orderkey, '{"data":' || coalesce(c_acctbal::varchar, 'null') || ',"errors":null}' as response
+  from orders left join (select * from customer where c_nationkey <> 7) on c_custkey = o_custkey where o_custkey is not null""")
+def kv_bulk_point_gets(spark, d):
+    """A request line for each order's customer, answered together from a log of customers; those of one nation are deleted."""
+    c = table(spark, d, "customer")
+    value = F.when(F.col("c_nationkey") != 7, codec.encode(F.col("c_acctbal"), "bigfloat"))
+    log = c.select(requests.literal_key(F.col("c_custkey").cast("string")).alias("key"), value.alias("value"), F.lit(1).cast("bigint").alias("ts_us"), F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("ttl_ms"))
+    o = table(spark, d, "orders").where("o_custkey is not null")
+    lines = o.select("o_orderkey", F.to_json(F.struct(F.lit(1).alias("kind"), F.concat(F.lit("get "), F.col("o_custkey").cast("string")).alias("query"))).alias("line"))
+    return requests.answer_gets(lines, log, FAR_MS).select("o_orderkey", "response")
+
+
 @query("""select step::integer as step, query, response from (values
   (0, 'set ''a'' 1, ''b'' 2.5, ''c'' true', '{"data":0,"errors":null}'),
   (1, 'get ''a''', '{"data":1,"errors":null}'),
