@@ -12,7 +12,7 @@ from keystrata.operators import maintain, ops, stats
 from keystrata.operators.visible import live, resolve, resolve_window, union_sources, visible
 from keystrata.plans import paging, requests
 from keystrata.plans.catalogue import query
-from keystrata.session import table
+from keystrata.session import table, written
 from keystrata.streaming import ingest
 
 AS_OF_MS = 1_705_708_800_000  # 2024-01-20, inside the events' month
@@ -133,13 +133,9 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    spark = rows.sparkSession
     cut = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     cut = cut.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/kv-{uuid.uuid4().hex}"
-    cut.write.parquet(path)
-    local = spark.read.schema(cut.schema).parquet(path)
+    local = written(cut)
     counts = local.groupBy("part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("part", before.alias("off"))  # one row for each partition

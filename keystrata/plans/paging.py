@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.session import written
+
 UINT64_TAG, INT64_MAX = 6, (1 << 63) - 1
 
 
@@ -37,30 +41,121 @@ def fold_pages(records: Iterable[tuple[bytes, bytes]], limit: int) -> Iterator[i
             used += size
 
 
+def _large_digits(data: pa.Array) -> np.ndarray:
+    """`_digits_above_signed` of each value; only those that may be so large are looked at one by one."""
+    above = pc.or_(pc.greater_equal(pc.binary_slice(data, 1, 2), b"\x80"), pc.greater(pc.binary_length(data), 9))
+    may = pc.and_(pc.equal(pc.binary_slice(data, 0, 1), bytes([UINT64_TAG])), above)
+    out = np.zeros(len(data), np.int64)
+    out[may.to_numpy(zero_copy_only=False)] = [_digits_above_signed(d) for d in data.filter(may).to_pylist()]
+    return out
+
+
+class Starts:
+    """Where pages begin in one range of sorted records, for every state that the fold may enter it in.
+
+    A state is one number: bytes and digits that the open page has used, 0 to limit + 1 (more acts alike). A page
+    that begins later never ends earlier, and the fullest state's second page begins after any other state's first.
+    So at each record all states have begun as many pages as the fullest or one less, and those with one less are
+    the states below some number. Steps are the intervals of states that have not come to the same since, fullest
+    first; they are no more than the records of a page.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.low = self.now = np.empty(0, np.int64)  # of each step: its least state at entry, its state now
+        self.unfilled = limit + 2  # states below it have filled no page yet
+        self.used = 0  # what the range so far adds to these
+        self.pages = 0  # begun by the fullest state
+        self.behind = 0  # how many steps, the last ones, have begun one less
+
+    def add(self, size: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each further record (at least one): pages begun by the fullest state, and below which state it is one less."""
+        n, limit = len(size), self.limit
+        at = np.concatenate(([0], np.cumsum(size + more)))
+        need = np.append(at[1:] + more, np.iinfo(np.int64).max)
+        most = np.maximum.accumulate(need[:n])
+
+        def next_start(begin: np.ndarray, state: np.ndarray) -> np.ndarray:
+            """The record after the first one, from begin on, that fills a page which has this state at begin; else 0."""
+            room = limit - state + at[begin]
+            full = np.maximum(np.searchsorted(most, room, "right"), begin)
+            for i in np.flatnonzero(need[full] <= room):  # only a record before begin needs so much
+                full[i] = next(j for j in range(full[i], n + 1) if need[j] > room[i])
+            return np.where(full < n, full + 1, 0)
+
+        carried = np.minimum(size, limit + 1)
+        after = [0, *next_start(np.arange(1, n + 1), carried).tolist()]
+        reached = np.minimum.accumulate(np.append(self.unfilled, np.maximum(limit + 1 - self.used - most, 0)))
+        filling = np.flatnonzero(reached[1:] < reached[:-1])  # records that fill the first page of some states
+        first = np.concatenate((next_start(np.zeros(len(self.now), np.int64), self.now), filling + 1))
+        low = np.concatenate((self.low, reached[filling + 1]))
+        self.unfilled, self.used = int(reached[n]), self.used + int(at[n])
+
+        begun = np.bincount(first[first > 0], minlength=n + 1).tolist()  # steps with a page that begins at a record
+        for p in range(1, n):
+            if begun[p] and after[p]:
+                begun[after[p]] += begun[p]
+        last = list(range(n + 1))  # the last page that follows one
+        for p in range(n - 1, 0, -1):
+            if after[p]:
+                last[p] = last[after[p]]
+        lead, p = np.zeros(n + 1, np.int64), int(first[0])
+        while p:
+            lead[p], p = 1, after[p]
+        lead = np.cumsum(lead)
+
+        rest = int(self.unfilled > 0)  # the states that have filled none are a step too
+        bounds = np.append(low, 0) if rest else low
+        behind = self.behind + self.pages * (len(filling) + rest) + len(bounds) * lead - np.cumsum(begun)
+        high, below = self.pages + lead, bounds[len(bounds) - 1 - behind]
+
+        self.pages = int(high[n])
+        late = np.arange(len(low)) >= len(low) - (int(behind[n]) - self.pages * rest)
+        final = np.array(last)[first]
+        now = np.where(first > 0, carried[final - 1] - at[final], np.append(self.now, filling)) + at[n]
+        keep = np.append((now[1:] != now[:-1]) | (late[1:] != late[:-1]), True)
+        self.low, self.now, self.behind = low[keep], now[keep], int(late[keep].sum())
+        return high[:n], below[:n]
+
+    def end(self) -> list[tuple[int, int, int]]:
+        """What the range does to a state: from each least state on, pages begun and the state then. Without a page, used is added."""
+        late = len(self.low) - self.behind
+        steps = [(int(low), self.pages - (i >= late), int(now)) for i, (low, now) in enumerate(zip(self.low, self.now))]
+        return [*steps, (0, 0, self.used)] if self.unfilled else steps
+
+
 def assign_pages(rows: DataFrame, limit: int) -> DataFrame:
     """rows (key, value; already resolved and visible) with their page.
 
-    The budget resets at every page, so pages are a sequential fold by definition: one task reads
-    the sorted range as a stream. Callers bound the range; cursors below need no fold ahead.
+    The budget resets at every page, so pages are a sequential fold by definition. Sorted ranges are folded apart,
+    each for all states at once, and written once with their steps; the driver chains the steps (a few for each
+    range), and then each record knows its page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records():
-            for b in batches:
-                held.append(b)
-                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-
-        held: list[pa.RecordBatch] = []
-        pages: list[int] = []
-        for page in fold_pages(records(), limit):
-            pages.append(page)
-            if len(pages) == held[0].num_rows:
-                b = held.pop(0)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pages, pa.int64())], names=["key", "value", "page"])
-                pages = []
-
-    ordered = rows.select("key", "value").repartitionByRange(1, "key").sortWithinPartitions("key")
-    return ordered.mapInArrow(run, "key binary, value binary, page long")
+        names, starts = ["key", "value", "high", "below", "state"], Starts(limit)
+        for b in batches:
+            if b.num_rows:
+                size = sum(pc.binary_length(c).to_numpy().astype(np.int64) for c in b.columns)
+                high, below = starts.add(size, sum(map(_large_digits, b.columns)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(high), pa.array(below), pa.nulls(b.num_rows, pa.int64())], names=names)
+        if starts.pages:  # as soon as there is a record
+            low, pages, state = (pa.array(c, pa.int64()) for c in zip(*starts.end()))
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(low), pa.binary())] * 2, pages, low, state], names=names)
+
+    ranges = rows.select("key", "value").repartitionByRange("key").sortWithinPartitions("key")
+    folded = written(ranges.mapInArrow(run, "key binary, value binary, high long, below long, state long").withColumn("part", F.spark_partition_id()))
+    ends: dict[int, list] = {}
+    for e in folded.where("state is not null").select("part", "below", "high", "state").collect():
+        ends.setdefault(e.part, []).append((e.below, e.high, e.state))
+    page, used, entered = 0, 0, []
+    for part in sorted(ends):
+        entered.append((part, page, used))
+        _, more, state = max(e for e in ends[part] if e[0] <= used)
+        page, used = page + more, state if more else used + state
+    entries = F.broadcast(rows.sparkSession.createDataFrame(entered, "part int, page long, used long"))
+    page_of = F.col("page") + F.col("high") - (F.col("used") < F.col("below")).cast("long")
+    return folded.where("state is null").join(entries, "part").select("key", "value", page_of.alias("page"))
 
 
 @dataclass
