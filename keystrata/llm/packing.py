@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,36 +34,39 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Words:
-    """Numbered words, and their ids one after another in one array."""
+    """Numbered words, and their ids one after another, in arrays: as Python strings they would take most of a worker's memory."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def add(self, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+    def add(self, words: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
         self.ids = np.concatenate([self.ids, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """The words' numbers, -1 for those that aren't here."""
-        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+    def numbers(self, words: pa.Array, since: int = 0) -> np.ndarray:
+        """The words' numbers, -1 for those that aren't among the words from number `since` on."""
+        found = pc.index_in(words, value_set=self.words.slice(since)).fill_null(-1).to_numpy()
+        return np.where(found < 0, -1, found + since)
 
     def stretches(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where these words' ids start, and how many they are."""
         starts = self.ends[numbers]
         return starts, self.ends[numbers + 1] - starts
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words one after another, and how many each has."""
-        starts, lens = self.stretches(self.numbers(words))
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with these numbers one after another, and how many each has."""
+        starts, lens = self.stretches(numbers)
         return self.ids[_places(starts, lens)], lens
 
 
 def _places(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The places of stretches of an array, one stretch after another."""
     ends = np.cumsum(lens)
-    return np.repeat(starts - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)
+    places = np.repeat(starts - (ends - lens), lens)
+    places += np.arange(len(places))
+    return places
 
 
 class WordEncoder:
@@ -75,7 +78,7 @@ class WordEncoder:
     go. New words are encoded together in one text and cut apart at the tokens that begin with a
     space; a comma or full stop after a Latin letter is a token of its own, so those words share their
     stem's ids. Texts with a space before a space or an end are encoded as they are. The memo has two
-    generations of at most `most` / 2 words and one batch each; words in use move on.
+    generations of at most `most` / 2 words (of 16 bytes on average) and one batch each; words in use move on.
     """
 
     def __init__(self, path: str, most: int = 800_000):
@@ -105,45 +108,52 @@ class WordEncoder:
             ids.append(part)
             lens.append(np.diff(starts, append=len(part)))
         if words:
-            self.memo.add(words, np.concatenate(ids), np.concatenate(lens))
-
-    def _need(self, new: list[str]) -> None:
-        """Put words that aren't in the memo there."""
-        if self.old.number and (again := [w for w in new if w in self.old.number]):
-            self.memo.add(again, *self.old.of(again))
-            new = [w for w in new if w not in self.old.number]
-        stopped = [w for w in new if w[-1] in ",." and "A" <= w[-2:-1] < "\u0250" and w[-2].isalpha()]
-        rest = set(new).difference(stopped)
-        self._learn([*rest, *({w[:-1] for w in stopped} - self.memo.number.keys() - rest)])
+            self.memo.add(pa.array(words, pa.large_string()), np.concatenate(ids), np.concatenate(lens))
+
+    def _need(self, new: pa.Array) -> None:
+        """Put words that aren't in the memo there, but none that is empty or begins with another space."""
+        if len(self.old.words):
+            numbers = self.old.numbers(new)
+            again = numbers >= 0
+            self.memo.add(new.filter(pa.array(again)), *self.old.of(numbers[again]))
+            new = new.filter(pa.array(~again))
+        words = [w for w in new.to_pylist() if w and not w[0].isspace()]
+        stopped = [w for w in words if w[-1] in ",." and "A" <= w[-2:-1] < "\u0250" and w[-2].isalpha()]
+        rest = set(words).difference(stopped)
+        stems = pa.array([w[:-1] for w in stopped], pa.large_string())
+        numbers, before = self.memo.numbers(stems), len(self.memo.words)
+        unknown = stems.filter(pa.array(numbers < 0))
+        self._learn([*rest, *(set(unknown.to_pylist()) - rest)])
         if stopped:
-            ids, lens = self.memo.of([w[:-1] for w in stopped])
-            self.memo.add(stopped, np.insert(ids, np.cumsum(lens), [self.stops[w[-1]] for w in stopped]), lens + 1)
+            numbers[numbers < 0] = self.memo.numbers(unknown, before)
+            ids, lens = self.memo.of(numbers)
+            self.memo.add(pa.array(stopped, pa.large_string()), np.insert(ids, np.cumsum(lens), [self.stops[w[-1]] for w in stopped]), lens + 1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (none null) one after another, and where each text's ids end."""
-        if len(self.memo.number) > self.most // 2:
+        if len(self.memo.words) > self.most // 2 or self.memo.words.nbytes > 8 * self.most:
             self.memo, self.old = Words(), self.memo
-        split = pa.compute.split_pattern(texts, " ")
+        split = pc.split_pattern(texts, " ")
         offsets = split.offsets.to_numpy()
         first, offsets = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
         coded = split.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        del split
+        codes, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.large_string())
         # Words that follow a space: all but the first of each text.
         follows = np.ones(len(codes), bool)
         follows[first] = False
         used = np.zeros(len(words), bool)
         used[codes[follows]] = True
-        numbers = self.memo.numbers(words)
+        numbers, before = self.memo.numbers(words), len(self.memo.words)
         missing = np.flatnonzero(used & (numbers < 0))
-        new = [words[i] for i in missing.tolist()]
-        odd = {w for w in new if not w or w[0].isspace()}
-        self._need([w for w in new if w not in odd] if odd else new)
-        numbers[missing] = self.memo.numbers(new)
+        new = words.take(pa.array(missing))
+        self._need(new)
+        numbers[missing] = self.memo.numbers(new, before)
         numbers = numbers[codes]
         starts, lens = self.memo.stretches(numbers)
         strange = np.add.reduceat(follows & (numbers < 0), first) > 0 if len(first) else np.zeros(0, bool)
         # The first words, and strange texts as a whole, are encoded as they are.
-        heads = self.whole([texts[i].as_py() if x else words[codes[k]] for i, (k, x) in enumerate(zip(first.tolist(), strange.tolist()))])
+        heads = self.whole([texts[i].as_py() if x else words[int(codes[k])].as_py() for i, (k, x) in enumerate(zip(first.tolist(), strange.tolist()))])
         lens[np.repeat(strange, offsets - first)] = 0
         sizes = np.array([len(h) for h in heads], np.int64)
         starts[first], lens[first] = len(self.memo.ids) + np.cumsum(sizes) - sizes, sizes
@@ -151,9 +161,9 @@ class WordEncoder:
         return pool[_places(starts, lens)], np.cumsum(lens)[offsets - 1]
 
 
-def _batches(texts: pa.Array, most_bytes: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def _batches(texts: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts that together stay near most_bytes."""
-    at, ends = 0, np.cumsum(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, ends = 0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
         yield at, to
@@ -166,12 +176,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, with_i
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         cache = worker_cache()
         encoder = cache.get(tokenizer_path) or cache.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
         for batch in batches:
-            texts = pa.compute.fill_null(batch.column(1), "")
+            texts = pc.fill_null(batch.column(1), "")
             for lo, hi in _batches(texts):
                 ids, ends = encoder.encode(texts.slice(lo, hi - lo))
                 ids = np.insert(ids, ends, END_ID).astype("<u4", copy=False)

@@ -133,3 +133,44 @@ def test_equal_rows_without_ids_are_packed_apart(spark):
     rows = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), rows_per_salt=10).collect()
     places = {(r.sequence_id, r.offset) for r in rows}
     assert len(rows) == len(places) == 300
+
+
+def test_packing_remembers_words_in_little_memory():
+    """A task of the packing stage shares an executor's memory with another and with what the stages before left."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    from keystrata.llm import packing
+
+    rng = random.Random(5)
+    words = list({"".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(40_000)})
+    texts = [" ".join(["first", *words[i : i + 400]]) for i in range(0, len(words), 400)]
+    encoder = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), most=60_000)
+    expected = [x for ids in encoder.whole(texts) for x in ids]
+    tracemalloc.start()
+    try:
+        allocated = pa.total_allocated_bytes()
+        for _ in range(3):  # learned, moved on to the next generation, known
+            ids, ends = encoder.encode(pa.array(texts))
+            assert ids.tolist() == expected and len(ends) == len(texts)
+            del ids, ends
+        kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - allocated
+    finally:
+        tracemalloc.stop()
+    assert kept < 80 * len(words)
+
+
+def test_packing_forgets_long_words():
+    import pyarrow as pa
+    import public_tokenizers
+
+    from keystrata.llm import packing
+
+    encoder = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), most=100)
+    for text in ("a " + "bc" * 1000, "a b", "d " + "bc" * 1000 + ","):
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == encoder.whole([text])[0]
+        assert encoder.memo.words.nbytes + encoder.old.words.nbytes < 8 * encoder.most + 2 * 5_000
