@@ -45,7 +45,8 @@ MARK = 256
 SHORT = 64
 #: Characters of text in a stretch of rows, about: its distinct words are folded once. A longer document is a stretch of its own.
 STRETCH = 1_500_000
-#: Words that a task remembers at most, and those of one stretch more; a word met again after that is folded again.
+#: Words that a task remembers at most, and those of one stretch more; then it keeps up to half of them, those met most
+#: often (twice at least), and a word that it let go and meets again is folded again.
 MOST_WORDS = 350_000
 #: A part's number in the fold: its id, from bit TOKEN on the token of its pair, from bit LEFT on what must be zero.
 TOKEN, LEFT = 20, 40
@@ -232,18 +233,26 @@ def byte_pairs(words: list[str]) -> pa.ListArray:
 
 def cut(docs: DataFrame, pattern: str, stretch: int = STRETCH, most_words: int = MOST_WORDS) -> DataFrame:
     """Stretches of rows: their doc ids, where each text's words end in `order`, the numbers of the words, and the words that
-    are new. Numbers count the task's distinct words, from 0 again (fresh) once there are most_words of them."""
+    are new. Numbers count the task's distinct words. Once there are most_words of them, `kept` has the numbers of those that
+    stay and are numbered anew in this order (else it is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         words_of, seen, known = regex.compile(pattern).findall, defaultdict(), 0
         seen.default_factory = seen.__len__
+        times = np.zeros(0, np.int64)  # that each word was met
         for batch in batches:
             for at, texts in _stretches(batch.column(1), stretch):
-                if fresh := len(seen) >= most_words:
+                kept = None
+                if len(seen) >= most_words:
+                    kept = np.argsort(-times, kind="stable")[: min(most_words // 2, int((times > 1).sum()))]
+                    words = list(seen)
                     seen.clear()
-                    known = 0
+                    for i in kept.tolist():
+                        seen[words[i]]
+                    del words
+                    times, known = times[kept], len(seen)
                 order, ends = array("i"), array("q")
                 for text in texts:
                     order.extend(map(seen.__getitem__, words_of(text)))
@@ -255,12 +264,15 @@ def cut(docs: DataFrame, pattern: str, stretch: int = STRETCH, most_words: int =
                     byte_pairs(list(islice(seen, known, None))),
                 )
                 known = len(seen)
+                met = np.bincount(one[2].to_numpy(), minlength=known)
+                met[: len(times)] += times
+                times = met
                 del texts
                 columns = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in one]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([fresh])], names=["docs", "ends", "order", "words", "fresh"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([kept], pa.list_(pa.int32()))], names=["docs", "ends", "order", "words", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "docs array<long>, ends array<long>, order array<int>, words array<array<int>>, fresh boolean")
+    return rows.mapInArrow(run, "docs array<long>, ends array<long>, order array<int>, words array<array<int>>, kept array<int>")
 
 
 class Words:
@@ -279,6 +291,11 @@ class Words:
         for name, more in (("ids", ids), ("texts", text.cast(pa.large_string())), ("bytes", data.cast(pa.large_binary()))):
             setattr(self, name, pa.chunked_array([pa.concat_arrays([*getattr(self, name).chunks, more])]))
 
+    def keep(self, numbers: pa.Array) -> None:
+        self.sizes = self.sizes[numbers.to_numpy()]
+        for name in ("ids", "texts", "bytes"):
+            setattr(self, name, getattr(self, name).take(numbers))
+
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids: bool = False, stretch: int = STRETCH, most_words: int = MOST_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, and with_ids their ids as an array."""
@@ -302,7 +319,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, with_ids:
         for batch in batches:
             for row in range(batch.num_rows):
                 doc, ends, order, new = (batch.column(c)[row].values for c in ("docs", "ends", "order", "words"))
-                spelt = Words() if batch.column("fresh")[row].as_py() else spelt
+                if (kept := batch.column("kept")[row]).is_valid:
+                    spelt.keep(kept.values)
                 spelt.add(pc.struct_field(new, "ids"), pc.struct_field(new, "bytes"))
                 cuts = np.concatenate([[0], ends.to_numpy()])
                 tokens = np.concatenate([[0], np.cumsum(spelt.sizes[order.to_numpy()], dtype=np.int64)])[cuts]

@@ -67,6 +67,21 @@ def test_bpe_rows_nobody_wants(spark):
     assert b"".join(bytes_of[i] for i in long.ids) == b"a" * 100_000
 
 
+def test_bpe_keeps_frequent_words_of_a_full_memory(spark):
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    texts = [f"often also x{chr(97 + i)}q z{chr(97 + i)}y often also" for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    words = [w for r in bpe.cut(df, P.PATTERN, stretch=1, most_words=8).select(F.size("words")).collect() for w in r]
+    assert sum(words) <= 20 * 2 + 10  # two new words a row; " also" and the like are not folded again and again
+    lib = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = bpe.encode(df, ranks, P.PATTERN, with_ids=True, stretch=1, most_words=8).collect()
+    assert {r.doc_id: list(r.ids) for r in rows} == {i: lib.encode_ordinary(t) for i, t in enumerate(texts)}
+    for r in rows:
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_bpe_merges_need_regular_ranks():
     single = {bytes([b]): b for b in range(256)}
     with pytest.raises(ValueError):
